@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 WS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"[\x20\x09-\x0D]"
 #: Bytes of text handled at a time inside a Python worker.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 #: Stands for a missing doc_id inside shuffles; it sorts after every other id.
 NO_ID = (1 << 63) - 1
 

@@ -142,24 +142,26 @@ def later_windows(whash: np.ndarray, doc: np.ndarray, pos: np.ndarray, within: b
     return out
 
 
-def _runs(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, width: int):
-    """Flagged windows as runs of units, gathered by (doc, tag)."""
-    import pyarrow as pa
-
+def _runs(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Flagged windows as runs of units (doc, tag, start, end), ordered by text."""
     order = np.lexsort((pos, tag, doc))
     doc, tag, pos = doc[order], tag[order], pos[order]
-    new_doc = np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]
-    new = new_doc | np.r_[True, pos[1:] > pos[:-1] + width]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] > pos[:-1] + width)]
     a = np.flatnonzero(new)
-    ends = pos[np.r_[a[1:] - 1, len(pos) - 1]] + width
-    flat = np.empty((len(a), 2), dtype=np.int32)
-    flat[:, 0], flat[:, 1] = pos[a], ends
-    heads = np.flatnonzero(new_doc)
-    cut = np.searchsorted(a, heads)
-    blobs = [flat[i:j].tobytes() for i, j in zip(cut, np.r_[cut[1:], len(a)], strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[heads]), pa.array(tag[heads]), pa.array(blobs, pa.binary())], names=["id", "tag", "spans"]
-    )
+    return doc[a], tag[a], pos[a], pos[np.r_[a[1:] - 1, len(pos) - 1]] + width
+
+
+def _addressed(runs: tuple[np.ndarray, ...], n_dest: int):
+    """Runs packed for the tasks that own their texts: (dest, blob) pairs."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1)
+    dest = (mix(runs[0].astype(_U)) % _U(n_dest)).astype(np.int64)
+    order = np.argsort(dest, kind="stable")
+    dest, runs = dest[order], [x[order].astype(np.int64) for x in runs]
+    cut = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1], True])
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(dest[i]), press.compress(np.concatenate([x[i:j] for x in runs]).tobytes())
 
 
 def _pack(ids, tags, starts, counts, hashes) -> bytes:
@@ -186,22 +188,31 @@ def _unpack(blob: bytes):
     return ids, tags, starts, counts, np.frombuffer(blob, _U, -1, 16 + size + 4 * n)
 
 
+#: Buckets of anchors in a partition.
+SUB = 8
 SPANS = "id long, tag long, spans binary"
 
 
 def repeated_spans(rows: DataFrame, units, select: Selector, width: int, within: bool, stored: DataFrame) -> DataFrame:
-    """Rows (id, tag, spans): for texts with repeated windows the unit ranges they cover, as int32 pairs; several rows per text.
+    """Rows (id, tag, spans): one for each text with repeated windows, with the unit ranges they cover as int32 pairs.
 
     ``rows`` has (id, tag, text), where id and tag tell rows apart. Inside each slice of a few MB of texts, later windows are
     settled at once and only first ones travel, so a hot text costs a slice one set of rows, not one per copy. ``stored`` is the
-    table whose size sets the number of partitions; a task holds one bucket of anchors at a time.
+    table whose size sets the number of partitions; a task holds one of its SUB buckets of anchors at a time. Found runs travel
+    back packed, so rows grow with the texts and not with the partitions they passed through.
     """
-    n_parts = partitions(stored, 8 << 20)
-    n_buckets = n_parts * 8
+    n_parts = partitions(stored, 32 << 20)
+    n_buckets = n_parts * SUB
 
-    def spread(batches):
+    def batch(part, bucket, blobs):
         import pyarrow as pa
 
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.asarray(part, np.int32)), pa.array(np.asarray(bucket, np.int32)), pa.array(blobs, pa.binary())],
+            names=["part", "bucket", "data"],
+        )
+
+    def spread(batches):
         for b in batches:
             all_ids, all_tags = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             texts = as_bytes(b.column(2))
@@ -219,10 +230,8 @@ def repeated_spans(rows: DataFrame, units, select: Selector, width: int, within:
                 pos = valid - bounds[d]
                 late = later_windows(whash, ids, pos, within)
                 if late.any():
-                    got = _runs(ids[late], tags[late], pos[late], width)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(got.num_rows, -1, np.int32)), *got.columns], names=["bucket", "id", "tag", "data"]
-                    )
+                    home, blobs = zip(*_addressed(_runs(ids[late], tags[late], pos[late], width), n_parts), strict=True)
+                    yield batch(home, np.full(len(home), -1), blobs)
                 first = np.flatnonzero(~late)
                 whash, ids, tags, pos, d = whash[first], ids[first], tags[first], pos[first], d[first]
                 name, at = name[valid][first], at[valid][first]
@@ -240,11 +249,7 @@ def repeated_spans(rows: DataFrame, units, select: Selector, width: int, within:
                     _pack(ids[heads[i:j]], tags[heads[i:j]], pos[heads[i:j]].astype(np.int32), counts[i:j], hashes[wcut[i] : wcut[j]])
                     for i, j in zip(cut[:-1], cut[1:], strict=True)
                 ]
-                k = len(blobs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cut[:-1]]), pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int64)), pa.array(blobs, pa.binary())],
-                    names=["bucket", "id", "tag", "data"],
-                )
+                yield batch(bucket[cut[:-1]] // SUB, bucket[cut[:-1]], blobs)
 
     def settle_bucket(blobs):
         ids, tags, starts, counts, hashes = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
@@ -255,7 +260,6 @@ def repeated_spans(rows: DataFrame, units, select: Selector, width: int, within:
         return ids[late], tags[late], pos[late]
 
     def gather(batches):
-        import pyarrow as pa
         import pyarrow.compute as pc
 
         current, blobs, ready, size = None, [], [], 0
@@ -263,20 +267,22 @@ def repeated_spans(rows: DataFrame, units, select: Selector, width: int, within:
         def flush():
             nonlocal ready, size
             if size:
-                yield _runs(*(np.concatenate(x) for x in zip(*ready, strict=True)), width)
+                late = [np.concatenate(x) for x in zip(*ready, strict=True)]
+                home, packed = zip(*_addressed(_runs(*late, width), n_parts), strict=True)
+                yield batch(home, np.full(len(home), -1), packed)
             ready, size = [], 0
 
         for b in batches:
-            own = b.filter(pc.less(b.column(0), 0))
+            own = b.filter(pc.less(b.column(1), 0))
             if own.num_rows:
-                yield pa.RecordBatch.from_arrays(own.columns[1:], names=["id", "tag", "spans"])
-            b = b.filter(pc.greater_equal(b.column(0), 0))
-            for bucket, data in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+                yield own
+            b = b.filter(pc.greater_equal(b.column(1), 0))
+            for bucket, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if bucket != current and blobs:
                     ready.append(settle_bucket(blobs))
                     size += len(ready[-1][0])
                     blobs = []
-                    if size > 1 << 21:
+                    if size > 1 << 22:
                         yield from flush()
                 current = bucket
                 blobs.append(data)
@@ -285,20 +291,36 @@ def repeated_spans(rows: DataFrame, units, select: Selector, width: int, within:
             size += len(ready[-1][0])
         yield from flush()
 
-    sent = rows.select("id", "tag", "text").mapInArrow(spread, "bucket int, id long, tag long, data binary")
-    dealt = sent.withColumn("deal", F.when(F.col("bucket") < 0, F.col("id") % 1000003).otherwise(F.col("bucket")))
-    return (
-        dealt.repartition(n_parts, "deal")
-        .sortWithinPartitions("bucket")
-        .select("bucket", "id", "tag", "data")
-        .mapInArrow(gather, SPANS)
-    )
-
-
-def covered(n: int, blobs: list[bytes] | None) -> np.ndarray:
+    def merge(batches):
+        import pyarrow as pa
+        import zstandard
+
+        press = zstandard.ZstdDecompressor()
+        runs = [np.frombuffer(press.decompress(x), np.int64).reshape(4, -1) for b in batches for x in b.column(2).to_pylist()]
+        if not runs:
+            return
+        ids, tags, start, end = np.concatenate(runs, axis=1)
+        order = np.lexsort((start, tags, ids))
+        ids, tags = ids[order], tags[order]
+        pairs = np.stack((start[order], end[order]), axis=1).astype(np.int32)
+        cut = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]), True])
+        for k in range(0, len(cut) - 1, 10_000):
+            at = cut[k : k + 10_001]
+            blobs = [pairs[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[at[:-1]]), pa.array(tags[at[:-1]]), pa.array(blobs, pa.binary())], names=["id", "tag", "spans"]
+            )
+
+    moved = "part int, bucket int, data binary"
+    sent = rows.select("id", "tag", "text").mapInArrow(spread, moved)
+    found = sent.repartitionById(n_parts, F.col("part")).sortWithinPartitions("bucket").mapInArrow(gather, moved)
+    return found.repartitionById(n_parts, F.col("part")).mapInArrow(merge, SPANS)
+
+
+def covered(n: int, blob: bytes | None) -> np.ndarray:
     """Which of ``n`` units the spans cover."""
     edges = np.zeros(n + 1, dtype=np.int64)
-    for blob in blobs or ():
+    if blob:
         pairs = np.frombuffer(blob, np.int32).reshape(-1, 2)
         np.add.at(edges, pairs[:, 0], 1)
         np.add.at(edges, pairs[:, 1], -1)
@@ -323,7 +345,7 @@ def _remove(docs: DataFrame, key: str, text: str, units, select: Selector, width
     spans = repeated_spans(
         rows.select(F.col("__id").alias("id"), F.col("__tag").alias("tag"), F.col(text).cast("string").alias("text")), units, select, width, within, docs
     )
-    spans = spans.groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_list("spans").alias("__spans"))
+    spans = spans.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
     joined = rows.join(spans, ["__id", "__tag"], "left").select(*docs.columns, "__spans")
     names = [x.split()[0] for x in schema.split(", ")]
     at = docs.columns.index(text)
