@@ -112,6 +112,14 @@ def components(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- numpy side
 
 
+def process_state() -> dict:
+    """Tables and caches that outlive a task in its Python worker; code that travels by value has no module of its own there."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_keyfold_process_state", types.ModuleType("_keyfold_process_state")).__dict__
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> _U(33))
@@ -121,18 +129,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n, kept between calls up to a few slices' length."""
-    if len(_POWERS.get("up", ())) < n:
+    state = process_state()
+    if len(state.get("up", ())) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
         for name, base in (("up", BASE), ("down", BASE_INV)):
             a = np.full(size, base, dtype=_U)
             a[0] = 1
-            _POWERS[name] = np.multiply.accumulate(a)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            state[name] = np.multiply.accumulate(a)
+    return state["up"][:n], state["down"][:n]
 
 
 def ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

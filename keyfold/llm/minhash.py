@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Table, Words, as_bytes, components, mix, partitions, ranges_hash, settle, slices
+from .common import NO_ID, Table, Words, as_bytes, components, mix, partitions, process_state, ranges_hash, settle, slices
 
 #: Documents and shingles that one task compares at a time; larger candidate groups are dealt out in blocks.
 BLOCK_DOCS, BLOCK_SHINGLES, HUBS = 2048, 1 << 20, 32
@@ -25,17 +25,15 @@ class Bands:
     seed: int = 20240229
 
 
-_TABLES: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-
 def _permutations(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The two permutations: the first scatters the universe, the second, read from k consecutive places, ranks it."""
-    if (k, seed) not in _TABLES:
+    state, name = process_state(), f"permutations {k} {seed}"
+    if name not in state:
         rng = np.random.default_rng(seed)
         sigma = rng.permutation(UNIVERSE).astype(np.int32)
         pi = rng.permutation(UNIVERSE).astype(np.int32)
-        _TABLES[k, seed] = sigma, np.lib.stride_tricks.sliding_window_view(np.concatenate((pi, pi[:k])), k)
-    return _TABLES[k, seed]
+        state[name] = sigma, np.lib.stride_tricks.sliding_window_view(np.concatenate((pi, pi[:k])), k)
+    return state[name]
 
 
 def signature(shingles: np.ndarray, plan: Bands) -> np.ndarray:

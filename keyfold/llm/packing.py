@@ -10,10 +10,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, settle, slices
+from .common import as_bytes, process_state, settle, slices
 
-#: Words whose ids a worker keeps; the cache starts anew when it is full.
-CACHE_WORDS = 500_000
+#: Words in a generation of the cache; a worker keeps two generations.
+CACHE_WORDS = 600_000
 _MARK = "\x01"
 
 
@@ -32,6 +32,7 @@ class TokenCache(dict):
 
         self.model = Tokenizer.from_file(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
         self.mark = self.ids(_MARK)[0]
+        self.old: dict[bytes, bytes] = {}
 
     def ids(self, text: str) -> list[int]:
         return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -51,15 +52,34 @@ class TokenCache(dict):
                 self[w] = ids[a:b].tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text, after learning all unseen words of the texts at once."""
-        split = [t.split() for t in texts]
-        unseen = {w for w in set().union(*split) if w not in self}
+        """The ids of each text: known words are looked up once, then all unseen words of the texts are learned together."""
+        rows, unseen = [], set()
+        for t in texts:
+            if b"<|" not in t and b"\xcc" not in t and b"\xcd" not in t:
+                t = t.lower()  # as the tokenizer does; without special tokens and combining marks the order of steps is free
+            words = t.split()
+            ids = list(map(self.get, words))
+            rows.append((words, ids))
+            if None in ids:
+                unseen.update([w for w, x in zip(words, ids, strict=True) if x is None])
         if len(self) + len(unseen) > CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-            unseen = set().union(*split)
-        self.learn(unseen)
-        for words in split:
-            yield b"".join(map(self.__getitem__, words))
+        for w in [w for w in unseen if w in self.old]:
+            self[w] = self.old[w]
+        self.learn({w for w in unseen if w not in self})
+        for words, ids in rows:
+            if None in ids:
+                ids = [self[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+            yield b"".join(ids)
+
+
+def token_cache(tokenizer: str) -> TokenCache:
+    """The process's cache for a tokenizer file; tasks that follow each other in a worker share it."""
+    state = process_state()
+    if state.get("tokenizer") != tokenizer:
+        state["tokenizer"], state["tokens"] = tokenizer, TokenCache(tokenizer)
+    return state["tokens"]
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
@@ -211,7 +231,7 @@ def _pieces(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, r
         import pyarrow as pa
         from pyspark import TaskContext
 
-        cache, part = TokenCache(tokenizer), TaskContext.get().partitionId()
+        cache, part = token_cache(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(room + 1, dtype=np.int64)
         tail = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
