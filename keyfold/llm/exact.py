@@ -37,10 +37,11 @@ def exact_groups(
     base = docs.select(F.col(key).cast("long").alias("id"), norm.alias("norm")).select(
         "id", "norm", F.octet_length("norm").alias("len"), F.expr(f"substring(norm, 1, {first_digit})").alias("head")
     )
-    sizes = base.groupBy("len", "head").agg(F.count("*").alias("n"))
-    alone = F.col("n") == 1
+    # Only groups of two or more are kept, and settled, so that the join has a shuffle on either side that can be split.
+    shared = settle(base.groupBy("len", "head").agg(F.count("*").alias("n")).where("n > 1"))
+    alone = F.col("n").isNull()
     state = settle(
-        base.join(sizes, ["len", "head"])
+        base.join(shared, ["len", "head"], "left")
         .select(
             "id",
             "len",
@@ -58,10 +59,12 @@ def exact_groups(
         width *= growth
         by = ["len", "head", "gid", "digit"]
         rows = active.withColumn("digit", F.expr(f"substring(rest, 1, {width})"))
-        groups = rows.groupBy(*by).agg(
-            F.count("*").alias("n"),
-            F.min("uid").alias("g"),
-            F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("uid"))).alias("m"),
+        groups = settle(
+            rows.groupBy(*by).agg(
+                F.count("*").alias("n"),
+                F.min("uid").alias("g"),
+                F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("uid"))).alias("m"),
+            )
         )
         read += width
         split = rows.join(groups, by).withColumn("ended", (F.col("n") == 1) | (F.col("len") <= read))
