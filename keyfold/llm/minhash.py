@@ -193,8 +193,11 @@ def near_components(
     plan = plan or Bands()
     spark = docs.sparkSession
     sigs = settle(signatures(docs, key, text, width, plan))
-    classes = sigs.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"))
-    reps = sigs.join(classes, ["digest", "n"]).where((F.col("id") == F.col("rep")) & (F.col("rep") < NO_ID))
+    same = sigs.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
+    # Classes of one need no row; those of more are settled, so that joins with them can split a class that is hot.
+    classes = settle(same.where("m > 1").select("digest", "n", "rep"))
+    named = sigs.join(classes, ["digest", "n"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    reps = named.where((F.col("n") > 0) & (F.col("id") == F.col("rep")) & (F.col("rep") < NO_ID))
     keyed = reps.select("rep", F.explode("bands").alias("band"))
     buckets = keyed.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last")
     pairs = keyed.join(buckets, "band").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
@@ -261,10 +264,9 @@ def near_components(
     final = settle(components(edges))
     table.drop()
     found = (
-        sigs.select("id", "n", "digest")
-        .join(classes, ["digest", "n"], "left")
+        named.select("id", "n", "rep")
         .join(final.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("id", "n", F.coalesce("comp", "rep", "id").alias("component"))
+        .select("id", "n", F.coalesce("comp", "rep").alias("component"))
     )
     real = F.when(F.col("component") < NO_ID, F.col("component"))
     own = F.when(F.col("id") < NO_ID, F.col("id"))
