@@ -83,6 +83,8 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             near = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        if not small:  # settled, it makes the join below one of two shuffles, which can split a hub's rows
+            least = settle(least)
         linked = near.join(least, "u")
         if small:
             out = linked.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
