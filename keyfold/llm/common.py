@@ -44,6 +44,30 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's parser reads it, dots and all."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """``name`` with as many underscores in front as keep it apart from all columns, which Spark tells apart regardless of case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(df: DataFrame, names: list[str]) -> list[str]:
+    """The columns of ``df`` but those called like one of ``names``, regardless of case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns under plain names, for functions over batches, which go by position and whose schema names the result."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 class Table:
     """A Parquet table in the shared folder for wide intermediate rows; ``drop`` it once nothing lazy reads it."""
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, settle
+from .common import WS_CLASS, quoted, settle, unused
 
 #: Bytes of the first digit, and how much wider each following digit is.
 FIRST_DIGIT, GROWTH = 64, 16
@@ -91,12 +91,12 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one row of each group of equal texts.
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called; one row of each group of equal texts.
 
     Rows are found again by key and digest of the whole text; of repeated rows one, any of the equals, is kept.
     """
-    kept = exact_groups(docs, key, text).where("kept").select(F.col(key).alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__sha", F.sha2(F.encode(normalised(text), "UTF-8"), 256))
-    right = kept.withColumnRenamed("__sha", "__kept_sha")
-    rows = marked.join(right, (F.col("__sha") == F.col("__kept_sha")) & F.col(key).cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return rows.dropDuplicates([key, "__sha"]).select(*docs.columns)
+    sha, own, same = unused("__sha", docs), unused("__id", docs), unused("__kept_sha", docs)
+    kept = exact_groups(docs, key, text).where("kept").select(F.col(key).alias(own), F.col("text_sha256").alias(same))
+    marked = docs.withColumn(sha, F.sha2(F.encode(normalised(text), "UTF-8"), 256))
+    rows = marked.join(kept, (F.col(sha) == F.col(same)) & F.col(key).cast("long").eqNullSafe(F.col(own)), "left_semi")
+    return rows.dropDuplicates([key, sha]).select(*map(quoted, docs.columns))

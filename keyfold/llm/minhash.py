@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Table, Words, as_bytes, components, mix, partitions, process_state, ranges_hash, settle, slices
+from .common import NO_ID, Table, Words, as_bytes, components, mix, partitions, process_state, ranges_hash, settle, slices, unused
 
 #: Documents and shingles that one task compares at a time; larger candidate groups are dealt out in blocks.
 BLOCK_DOCS, BLOCK_SHINGLES, HUBS = 2048, 1 << 20, 32
@@ -277,5 +277,6 @@ def near_components(
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``docs`` whose document stays, one document of each component, with all their columns."""
-    kept = near_components(docs, key, text, num, den).where("kept").select(F.col(key).alias("__kept")).distinct()
-    return docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    name = unused("__kept", docs)
+    kept = near_components(docs, key, text, num, den).where("kept").select(F.col(key).alias(name)).distinct()
+    return docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col(name)), "left_semi")

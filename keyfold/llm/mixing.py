@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted, settle, unused
+
 #: Cells (combinations of values) that the fit, which runs on the driver, takes; their number is bounded by the targets' values.
 MAX_CELLS = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,9 +85,10 @@ def mix_sources(
         values = [v for v in targets[d] if v is not None]
         c = dims[d].cast("string")
         known[d] = F.when(c.isin(values) if values else F.lit(False), c)
-    cols = [known[d].alias(f"__d{i}") for i, d in enumerate(names)]
+    ids, matched = ([unused(f"__{x}{i}", docs) for i in range(len(names))] for x in "dc")
+    share = unused("__p", docs)
+    cols = [known[d].alias(ids[i]) for i, d in enumerate(names)]
     tokens = n_words(F.col(text))
-    ids = [f"__d{i}" for i in range(len(names))]
     cells = docs.select(*cols, tokens.alias("n")).groupBy(*ids).agg(F.sum("n").alias("n")).collect()  # at most ``size`` rows
     levels = [{v: j for j, v in enumerate([*(x for x in targets[d] if x is not None), None])} for d in names]
     codes = [np.array([levels[i][r[i]] for r in cells], dtype=np.int64) for i in range(len(names))]
@@ -96,28 +99,33 @@ def mix_sources(
         named &= t[c] > 0
     take = rake(mass, codes, shares, budget * float(mass[named].sum())) if len(cells) else mass
     prob = np.divide(take, mass, out=np.where(named, budget, 0.0), where=mass > 0)
-    schema = ", ".join([*(f"__c{i} string" for i in range(len(names))), "__p double"])
+    schema = ", ".join([*(f"{c} string" for c in matched), f"{share} double"])
     table = spark.createDataFrame([(*r[: len(names)], float(p)) for r, p in zip(cells, prob, strict=True)], schema)
     on = None
     marked = docs.select("*", *cols)
     for i in range(len(names)):
-        same = F.col(f"__d{i}").eqNullSafe(F.col(f"__c{i}"))
+        same = F.col(ids[i]).eqNullSafe(F.col(matched[i]))
         on = same if on is None else on & same
     joined = marked.join(F.broadcast(table), on, "left")
     drawn = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string"), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    p = F.coalesce("__p", F.lit(0.0))
+    p = F.coalesce(share, F.lit(0.0))
     if keep:
-        return joined.where(drawn < p).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return joined.where(drawn < p).select(*map(quoted, docs.columns))
     return joined.select(
         F.col(key).alias(key), *[dims[d].cast("string").alias(d) for d in names], tokens.alias("n_tokens"), p.alias("probability"), (drawn < p).alias("kept")
     )
 
 
-def mass_by(docs: DataFrame, value: Column, text: str = "text", most: int = 4096) -> dict:
-    """Tokens by value, for targets made from the data; more than ``most`` values must be pooled by the caller first."""
-    rows = (
-        docs.select(value.cast("string").alias("v"), n_words(F.col(text)).alias("n")).groupBy("v").agg(F.sum("n").alias("n")).limit(most + 1).collect()
-    )
-    if len(rows) > most:
-        raise ValueError(f"more than {most} values; pool rare ones first")
-    return {r.v: r.n for r in rows if r.v is not None}
+def pooled(docs: DataFrame, value: Column, text: str = "text", most: int = 1000, rest: str = "other") -> tuple[Column, dict]:
+    """A dimension of bounded width and its tokens by value: the ``most`` values with most tokens, and ``rest`` for all others and null.
+
+    Tokens are summed over all rows; only the heaviest values, ties in order of value, and one total reach the driver.
+    """
+    by = settle(docs.select(value.cast("string").alias("v"), n_words(F.col(text)).alias("n")).groupBy("v").agg(F.sum("n").alias("n")))
+    mass = {r.v: r.n for r in by.where("v is not null").orderBy(F.desc("n"), "v").limit(most).collect()}
+    left = (by.agg(F.sum("n")).first()[0] or 0) - sum(mass.values())
+    named = value.cast("string").isin(list(mass)) if mass else F.lit(False)
+    column = F.when(named, value.cast("string")).otherwise(rest)
+    if left:
+        mass[rest] = mass.get(rest, 0) + left
+    return column, mass

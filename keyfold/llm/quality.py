@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, Words, as_bytes, mix, slices
+from .common import WS, Words, as_bytes, mix, numbered, quoted, slices, without
 
 SYMBOLS = "#*$%&|<>"
 
@@ -108,16 +108,14 @@ def score_quality(docs: DataFrame, text: str = "text", rules: Rules | None = Non
     """Every row of ``docs`` with all its columns and, prefixed if asked, the measures and the verdict ``kept``.
 
     Words are compared by 64-bit hashes that carry the text's number. Null text counts as empty (no words: the base
-    rule fails it); rows may repeat or lack an id, as none is used; an empty table stays empty. A clash between a
-    column of ``docs`` and a measure is an error of the caller, who chooses ``prefix``.
+    rule fails it); rows may repeat or lack an id, as none is used; an empty table stays empty. A column of ``docs`` that is
+    called like a measure, in any case, gives way to it; with another ``prefix`` it stays.
     """
     rules = rules or Rules()
-    clash = {prefix + x for x in NAMES} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already; choose a prefix")
-    at = docs.columns.index(text)
+    docs = docs.select(*map(quoted, without(docs, [prefix + x for x in NAMES])))
+    names, at = docs.columns, docs.columns.index(text)
     added = re.sub(r"(\w+) (\w+)", lambda m: f"`{prefix}{m[1]}` {m[2]}", SCHEMA)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), added])
+    schema = ", ".join([*(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema), added])
 
     def run(batches):
         import pyarrow as pa
@@ -128,12 +126,15 @@ def score_quality(docs: DataFrame, text: str = "text", rules: Rules | None = Non
                 got = measure(texts[lo:hi], rules)
                 yield pa.RecordBatch.from_arrays(
                     [*b.slice(lo, hi - lo).columns, *(pa.array(got[x]) for x in NAMES)],
-                    names=[*b.schema.names, *(prefix + x for x in NAMES)],
+                    names=[*names, *(prefix + x for x in NAMES)],
                 )
 
-    return docs.mapInArrow(run, schema)
+    return numbered(docs).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Rules | None = None) -> DataFrame:
-    """The rows of ``docs`` that the verdict keeps, with the same columns."""
-    return score_quality(docs, text, rules, prefix="__q_").where(F.col("__q_kept")).select(*docs.columns)
+    """The rows of ``docs`` that the verdict keeps, with the same columns, whatever these are called."""
+    prefix = "__q_"
+    while len(without(docs, [prefix + x for x in NAMES])) < len(docs.columns):
+        prefix = f"_{prefix}"
+    return score_quality(docs, text, rules, prefix).where(F.col(f"{prefix}kept")).select(*map(quoted, docs.columns))

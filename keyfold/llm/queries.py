@@ -14,7 +14,8 @@ URL_RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-LANGUAGES = {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}
+#: Shares of languages; "other" stands for all languages that are not named, and for none. A share that no text can fill goes to the rest in proportion.
+LANGUAGES = {"en": 0.49, "de": 0.196, "fr": 0.147, "es": 0.147, "other": 0.02}
 TOPICS = {"note": 0.1, "article": 0.6, "treatise": 0.3}
 
 
@@ -28,13 +29,11 @@ def topic(text: str = "text"):
     return F.when(n < 600, "note").when(n < 6000, "article").otherwise("treatise")
 
 
-def targets(docs: DataFrame) -> dict[str, dict]:
-    """Sources flattened to the square root of their tokens, languages and topics as given."""
-    return {"source": mixing.tempered(mixing.mass_by(docs, F.col("source")), 0.5), "lang": LANGUAGES, "topic": TOPICS}
-
-
-def dims() -> dict:
-    return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic()}
+def mixture(docs: DataFrame) -> tuple[dict, dict[str, dict]]:
+    """Dimensions and targets: sources (the lightest and none pooled) by the square root of their tokens, languages and topics as given."""
+    source, mass = mixing.pooled(docs, F.col("source"))
+    lang = F.when(F.col("lang").isin([x for x in LANGUAGES if x != "other"]), F.col("lang")).otherwise("other")
+    return {"source": source, "lang": lang, "topic": topic()}, {"source": mixing.tempered(mass, 0.5), "lang": LANGUAGES, "topic": TOPICS}
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +75,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return mixing.mix_sources(docs, dims(), targets(docs), budget=0.5)
+    return mixing.mix_sources(docs, *mixture(docs), budget=0.5)
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WS, Words, as_bytes, mix, partitions, slices, window_hash
+from .common import NO_ID, WS, Words, as_bytes, mix, numbered, partitions, quoted, slices, unused, window_hash, without
 
 Selector = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 _BIG = 1 << 40
@@ -327,29 +327,27 @@ def covered(n: int, blob: bytes | None) -> np.ndarray:
     return np.cumsum(edges)[:n] > 0
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Adds __id (never null) and __tag (a digest of the text), which tell rows apart, even if ids repeat."""
-    return docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))).withColumn(
-        "__tag", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
-    )
-
-
 def _remove(docs: DataFrame, key: str, text: str, units, select: Selector, width: int, within: bool, finish, schema: str) -> DataFrame:
-    """Every row of ``docs`` with the columns ``finish`` makes from (text, spans); ``schema`` names and types these."""
+    """Every row of ``docs`` with the columns ``finish`` makes from (text, spans); ``schema`` names and types these.
+
+    A column of ``docs`` that is called like one of these, in any case, gives way to it.
+    """
     if width < 2:
         raise ValueError("a window has two units at least")
-    clash = {x.split()[0] for x in schema.split(", ")} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already; rename them first")
-    rows = _keyed(docs, key, text)
+    names = [x.split()[0] for x in schema.split(", ")]
+    docs = docs.select(*map(quoted, without(docs, names)))
+    own, tag, found = unused("__id", docs), unused("__tag", docs), unused("__spans", docs)
+    # The id is never null, and with a digest of the text it tells rows apart, even if ids repeat.
+    rows = docs.withColumn(own, F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))).withColumn(
+        tag, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
+    )
     spans = repeated_spans(
-        rows.select(F.col("__id").alias("id"), F.col("__tag").alias("tag"), F.col(text).cast("string").alias("text")), units, select, width, within, docs
+        rows.select(F.col(own).alias("id"), F.col(tag).alias("tag"), F.col(text).cast("string").alias("text")), units, select, width, within, docs
     )
-    spans = spans.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
-    joined = rows.join(spans, ["__id", "__tag"], "left").select(*docs.columns, "__spans")
-    names = [x.split()[0] for x in schema.split(", ")]
-    at = docs.columns.index(text)
-    whole = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), schema])
+    spans = spans.select(F.col("id").alias(own), F.col("tag").alias(tag), F.col("spans").alias(found))
+    joined = rows.join(spans, [own, tag], "left").select(*map(quoted, docs.columns), found)
+    columns, at = docs.columns, docs.columns.index(text)
+    whole = ", ".join([*(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema), schema])
 
     def run(batches):
         import pyarrow as pa
@@ -360,9 +358,9 @@ def _remove(docs: DataFrame, key: str, text: str, units, select: Selector, width
             out = [finish(t, s) for t, s in zip(as_bytes(b.column(at)), spans, strict=True)]
             cols = list(zip(*out, strict=True)) or [[]] * len(names)
             made = [pa.array(c, arrow[x.split()[1]]) for c, x in zip(cols, schema.split(", "), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*columns, *names])
 
-    return joined.mapInArrow(run, whole)
+    return numbered(joined).mapInArrow(run, whole)
 
 
 def drop_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 13, rounds: int = 3) -> DataFrame:

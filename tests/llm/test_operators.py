@@ -135,11 +135,58 @@ def test_edge_rows(spark):
         assert f(empty).count() == 0
     nulls = spark.createDataFrame([(None, None, None)], "page_id long, url string, host string")
     assert urls.filter_urls(nulls, queries.URL_RULES).collect()[0].verdict == "allow"
-    with pytest.raises(ValueError):
-        quality.score_quality(docs.withColumn("kept", F.lit(1)))
-    mixed = mixing.mix_sources(docs.withColumn("topic", F.lit(None).cast("string")), queries.dims(), queries.targets(docs), 0.5).collect()
+    mixed = mixing.mix_sources(docs.withColumn("topic", F.lit(None).cast("string")), *queries.mixture(docs), 0.5).collect()
     assert len(mixed) == 8
-    assert mixing.mix_sources(empty, queries.dims(), queries.targets(docs), 0.5).count() == 0
+    assert mixing.mix_sources(empty, *queries.mixture(empty), 0.5).count() == 0
+
+
+#: Names that operators use inside or give to results, in either case, and one that needs quoting.
+ODD = [
+    "id", "norm", "LEN", "head", "n", "Kept", "keep_id", "group_size", "text_sha256", "rest", "uid", "gid", "digit", "component_id", "n_shingles",
+    "rep", "bands", "band", "bin", "part", "label", "cand", "blocks", "tag", "spans", "N_words", "n_removed", "kept_text", "n_lines", "__id", "__TAG",
+    "__spans", "__sha", "__kept_sha", "__kept", "__q_kept", "__d0", "__c1", "__p", "topic", "probability", "n_tokens", "piece", "start", "length",
+    "offset", "sequence_id", "rank", "worst_coverage", "word_chars", "licence", "notices", "digest", "a.b", "c`d",
+]
+
+
+def test_columns_with_clashing_names(spark):
+    """Extra columns, null in every row or not, change no result; operators that return whole rows return them."""
+    texts = varied(11, 40)
+    plain = spark.createDataFrame(list(zip(range(40), texts, ["en"] * 40, ["s"] * 40, strict=True)), "doc_id long, text string, lang string, source string")
+    extra = plain.select("*", *[F.lit("x" if i % 2 else None).cast("string").alias(c) for i, c in enumerate(ODD)])
+
+    def rows(df, *cols):
+        return sorted(map(str, (df.select(*cols) if cols else df).collect()))
+
+    mixed = lambda d: mixing.mix_sources(d, *queries.mixture(d), 0.5)
+    for f in (exact.exact_groups, minhash.near_components, tokens.count_tokens, licences.scan_licences, packing.pack, mixed):
+        assert rows(f(extra).drop("sequence_id", "offset")) == rows(f(plain).drop("sequence_id", "offset"))
+    for f in (spans.drop_repeated_words, spans.drop_repeated_lines, quality.score_quality):
+        got, want = f(extra), f(plain)
+        assert rows(got, *want.columns) == rows(want)
+        assert len(got.columns) < len(ODD) + len(want.columns)  # clashing ones gave way
+    mixed = lambda d: mixing.mix_sources(d, *queries.mixture(d), 0.5, keep=True)
+    for f in (exact.drop_exact_copies, minhash.drop_near_copies, quality.keep_good, mixed):
+        got = f(extra)
+        assert got.columns == extra.columns
+        assert rows(got, "doc_id") == rows(f(plain), "doc_id")
+
+
+def test_rows_of_nulls(spark):
+    docs = spark.createDataFrame([(None, None, None, None)] * 3 + [(1, None, None, None), (2, "a b " * 40, None, None)], "doc_id long, text string, lang string, source string")
+    assert [len(f(docs).collect()) for f in (exact.exact_groups, minhash.near_components, tokens.count_tokens, licences.scan_licences, packing.pack)] == [5] * 5
+    assert [len(f(docs).collect()) for f in (spans.drop_repeated_words, spans.drop_repeated_lines, quality.score_quality)] == [5] * 3
+    assert exact.drop_exact_copies(docs).count() == 2
+    rows = mixing.mix_sources(docs, *queries.mixture(docs), 0.5).collect()
+    assert {(r.source, r.lang) for r in rows} == {("other", "other")} and len(rows) == 5
+
+
+def test_rare_values_are_pooled(spark):
+    docs = spark.createDataFrame([(i, "w " * (40 - i), f"s{i}") for i in range(30)] + [(99, "w w", None)], "doc_id long, text string, source string")
+    column, mass = mixing.pooled(docs, F.col("source"), most=5)
+    assert mass == {**{f"s{i}": 40 - i for i in range(5)}, "other": sum(40 - i for i in range(5, 30)) + 2}
+    got = {r.v: r["count"] for r in docs.select(column.alias("v")).groupBy("v").count().collect()}
+    assert got == {**{f"s{i}": 1 for i in range(5)}, "other": 26}
 
 
 def test_packing_matches_the_tokenizer_and_is_tight(spark):
@@ -257,12 +304,12 @@ def test_raking_meets_the_margins():
 
 def test_sampling_follows_the_probabilities(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = mixing.mix_sources(docs, queries.dims(), queries.targets(docs), 0.5).collect()
+    rows = mixing.mix_sources(docs, *queries.mixture(docs), 0.5).collect()
     want = sum(r.n_tokens * r.probability for r in rows)
     sd = sum(r.n_tokens**2 * r.probability * (1 - r.probability) for r in rows) ** 0.5
     assert abs(sum(r.n_tokens for r in rows if r.kept) - want) < 5 * sd
     assert abs(want - 0.5 * sum(r.n_tokens for r in rows)) < 0.02 * want
-    kept = mixing.mix_sources(docs, queries.dims(), queries.targets(docs), 0.5, keep=True)
+    kept = mixing.mix_sources(docs, *queries.mixture(docs), 0.5, keep=True)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.kept}
 
 
