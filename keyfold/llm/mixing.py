@@ -18,25 +18,36 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def margin(share: np.ndarray, there: np.ndarray, budget: float) -> np.ndarray:
+    """Tokens to take of each value: its share of the budget, or all there are where that is less; others then take its part in proportion."""
+    out, open_ = np.zeros(len(share)), (share > 0) & (there > 0)
+    while open_.any():
+        want = np.where(open_, share, 0) / share[open_].sum() * max(0.0, budget - out.sum())
+        short = open_ & (want >= there)
+        if not short.any():
+            return out + want
+        out[short], open_ = there[short], open_ & ~short
+    return out
+
+
 def rake(
     mass: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], budget: float, rounds: int = 200, tol: float = 1e-10
 ) -> np.ndarray:
     """Tokens to take from each cell: at most its mass, in sum at most ``budget``, with marginals as near the target shares as that allows.
 
     ``codes[d]`` numbers each cell's value in dimension d, ``targets[d]`` is the share of each value; a cell with a value of share 0
-    gets nothing. Each round scales the weights to one marginal after the other and then cuts cells to their mass, so
-    what a poor cell cannot give is taken from others of the same values.
+    gets nothing. ``margin`` lowers what is asked of a value to what there is. Each round scales the weights to one marginal after the
+    other and then cuts cells to their mass, so what a poor cell cannot give is taken from others of the same values.
     """
     open_ = np.ones(len(mass), dtype=bool)
     for c, t in zip(codes, targets, strict=True):
         open_ &= t[c] > 0
     w = np.where(open_, mass, 0.0)
+    wants = [margin(t, np.bincount(c, weights=w, minlength=len(t)), budget) for c, t in zip(codes, targets, strict=True)]
     for _ in range(rounds):
         old = w.copy()
-        for c, t in zip(codes, targets, strict=True):
-            have = np.bincount(c, weights=w, minlength=len(t))
-            live = t * (have > 0)
-            want = budget * live / max(live.sum(), 1e-300)
+        for c, want in zip(codes, wants, strict=True):
+            have = np.bincount(c, weights=w, minlength=len(want))
             w = w * np.divide(want, have, out=np.zeros_like(want), where=have > 0)[c]
         w = np.minimum(w, mass)
         if np.abs(w - old).sum() <= tol * max(budget, 1e-300):

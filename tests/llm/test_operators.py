@@ -302,6 +302,14 @@ def test_raking_meets_the_margins():
         assert np.allclose(np.bincount(c, weights=w), 300 * t, rtol=1e-6)
 
 
+def test_what_a_poor_value_lacks_is_taken_from_others():
+    got = mixing.margin(np.array([0.5, 0.3, 0.2, 0.0]), np.array([10.0, 1000.0, 1000.0, 1000.0]), 100.0)
+    assert np.allclose(got, [10, 54, 36, 0])
+    assert mixing.margin(np.array([0.5, 0.5]), np.array([1.0, 2.0]), 100.0).tolist() == [1, 2]
+    w = mixing.rake(np.array([10.0, 500.0]), [np.array([0, 1])], [np.array([0.5, 0.5])], budget=100.0)
+    assert np.allclose(w, [10, 90])
+
+
 def test_sampling_follows_the_probabilities(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = mixing.mix_sources(docs, *queries.mixture(docs), 0.5).collect()
