@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 WS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"[\x20\x09-\x0D]"
 #: Bytes of text handled at a time inside a Python worker.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Stands for a missing doc_id inside shuffles; it sorts after every other id.
 NO_ID = (1 << 63) - 1
 
@@ -143,7 +143,17 @@ def process_state() -> dict:
     import sys
     import types
 
-    return sys.modules.setdefault("_keyfold_process_state", types.ModuleType("_keyfold_process_state")).__dict__
+    module = sys.modules.setdefault("_keyfold_process_state", types.ModuleType("_keyfold_process_state"))
+    return module.__dict__.setdefault("held", {})
+
+
+def claim(owner: str) -> dict:
+    """The process state for one operator's tasks: what another operator left there in this worker goes first."""
+    state = process_state()
+    if state.get("owner") != owner:
+        state.clear()
+        state["owner"] = owner
+    return state
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -159,7 +169,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n, kept between calls up to a few slices' length."""
     state = process_state()
     if len(state.get("up", ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = -(-n // (1 << 18)) << 18
         for name, base in (("up", BASE), ("down", BASE_INV)):
             a = np.full(size, base, dtype=_U)
             a[0] = 1

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Table, Words, as_bytes, components, mix, partitions, process_state, ranges_hash, settle, slices, unused
+from .common import NO_ID, Table, Words, as_bytes, claim, components, mix, partitions, process_state, ranges_hash, settle, slices, unused
 
 #: Documents and shingles that one task compares at a time; larger candidate groups are dealt out in blocks.
 BLOCK_DOCS, BLOCK_SHINGLES, HUBS = 2048, 1 << 20, 32
@@ -80,6 +80,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, plan: Bands) ->
     def run(batches):
         import pyarrow as pa
 
+        claim("minhash")
         for b in batches:
             texts = as_bytes(b.column(1))
             for lo, hi in slices(texts):
@@ -161,6 +162,7 @@ def _verify(groups: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def run(pdf):
         import pandas as pd
 
+        claim("minhash")
         a, b = [], []
         for _, g in pdf.groupby("cand", sort=False):
             texts = [t.encode() if t else b"" for t in g["text"]]

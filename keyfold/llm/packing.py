@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, process_state, settle, slices
+from .common import as_bytes, claim, settle, slices
 
 #: Words in a generation of the cache; a worker keeps two generations.
 CACHE_WORDS = 600_000
@@ -76,7 +76,7 @@ class TokenCache(dict):
 
 def token_cache(tokenizer: str) -> TokenCache:
     """The process's cache for a tokenizer file; tasks that follow each other in a worker share it."""
-    state = process_state()
+    state = claim("packing")
     if state.get("tokenizer") != tokenizer:
         state["tokenizer"], state["tokens"] = tokenizer, TokenCache(tokenizer)
     return state["tokens"]

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, Words, as_bytes, mix, numbered, quoted, slices, without
+from .common import WS, Words, as_bytes, claim, mix, numbered, quoted, slices, without
 
 SYMBOLS = "#*$%&|<>"
 
@@ -120,6 +120,7 @@ def score_quality(docs: DataFrame, text: str = "text", rules: Rules | None = Non
     def run(batches):
         import pyarrow as pa
 
+        claim("quality")
         for b in batches:
             texts = as_bytes(b.column(at))
             for lo, hi in slices(texts):

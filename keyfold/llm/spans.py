@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WS, Words, as_bytes, mix, numbered, partitions, quoted, slices, unused, window_hash, without
+from .common import NO_ID, WS, Words, as_bytes, claim, mix, numbered, partitions, quoted, slices, unused, window_hash, without
 
 Selector = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 _BIG = 1 << 40
@@ -188,6 +188,8 @@ def _unpack(blob: bytes):
     return ids, tags, starts, counts, np.frombuffer(blob, _U, -1, 16 + size + 4 * n)
 
 
+#: Bytes of text whose windows are settled together before they travel.
+FOLD_BYTES = 4 << 20
 #: Buckets of anchors in a partition.
 SUB = 8
 SPANS = "id long, tag long, spans binary"
@@ -213,10 +215,11 @@ def repeated_spans(rows: DataFrame, units, select: Selector, width: int, within:
         )
 
     def spread(batches):
+        claim("spans")
         for b in batches:
             all_ids, all_tags = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             texts = as_bytes(b.column(2))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, FOLD_BYTES):
                 h, doc, bounds = units(texts[lo:hi])
                 n = len(h) - width + 1
                 if n <= 0:
@@ -262,6 +265,7 @@ def repeated_spans(rows: DataFrame, units, select: Selector, width: int, within:
     def gather(batches):
         import pyarrow.compute as pc
 
+        claim("spans")
         current, blobs, ready, size = None, [], [], 0
 
         def flush():

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, claim
 
 CACHE_WORDS = 500_000
 
@@ -113,7 +113,7 @@ def count_tokens(
     Words are runs outside ASCII white space, A-Z lower-cased if ``lower``; each is matched greedily against the
     vocabulary's byte strings. A word that cannot be matched counts as one token and as unknown.
     Null or blank text: zeros. Keys may repeat or be null; other columns are not read; an empty table stays empty.
-    Workers keep counts of up to CACHE_WORDS words.
+    A worker keeps the automaton and counts of up to CACHE_WORDS words from task to task.
     """
     rows = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("text"))
     kind = rows.schema[key].dataType.simpleString()
@@ -132,7 +132,10 @@ def count_tokens(
     def run(batches):
         import pyarrow as pa
 
-        counts = Counts()
+        state = claim("tokens")
+        if state.get("tokenizer") != tokenizer:
+            state["tokenizer"], state["counts"] = tokenizer, Counts()
+        counts = state["counts"]
         for b in batches:
             words, tokens, unknown = [], [], []
             for t in as_bytes(b.column(1)):
