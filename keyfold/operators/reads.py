@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settle
 from .merge import live, newest_by_seq
 
 
@@ -46,13 +47,15 @@ def seek(df: DataFrame, target, start=None, end=None, key: str = "key") -> DataF
     return df.where(in_range(F.col(key), low, end)).orderBy(key).limit(1)
 
 
-def successors(df: DataFrame, n_ranges: int, key: str = "key") -> DataFrame:
+def successors(df: DataFrame, n_ranges: int | None = None, key: str = "key") -> DataFrame:
     """Each key with the next one in order, ``next_key`` (null for the last).
 
-    Keys are dealt into ordered ranges; within a range ``lead`` finds the next, and the first key of the following
-    non-empty range, a table of ``n_ranges`` rows, closes the gap.
+    Keys are dealt into ordered ranges, by default as many as the session has shuffle partitions, and settled, as the ranges'
+    bounds come from a sample. Within a range ``lead`` finds the next, and the first key of the following non-empty range, a
+    table of ``n_ranges`` rows, closes the gap.
     """
-    parts = df.select(key).repartitionByRange(n_ranges, key).withColumn("__part", F.spark_partition_id())
+    n_ranges = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = settle(df.select(key).repartitionByRange(n_ranges, key).withColumn("__part", F.spark_partition_id()))
     w = Window.partitionBy("__part").orderBy(key)
     inner = parts.withColumn("next_key", F.lead(key).over(w))
     heads = parts.groupBy("__part").agg(F.min(key).alias("__head"))

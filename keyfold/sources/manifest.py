@@ -46,10 +46,13 @@ def log_number(records: DataFrame) -> DataFrame:
 class ManifestLog:
     """Versions 1, 2, ... as JSON files of whole states in ``<path>/manifest``; creating a version's file is its commit.
 
-    The file is created exclusively through Hadoop's file system, so of two writers one fails. Every version is a
-    checkpoint; ``prune`` removes old ones.
+    A lock file beside it is created exclusively through Hadoop's file system, so of two writers one fails; a lock that a lost
+    writer left goes after STALE_MS. Every version is a checkpoint; ``prune`` removes old ones.
     """
 
+    STALE_MS = 600_000
+
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.dir = spark, f"{path}/manifest"
         jvm = spark._jvm
@@ -90,6 +93,9 @@ class ManifestLog:
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
         lock = self._path(f"{name}.lock")
+        # Age by the file system's own clock: the file written just now is as new as can be.
+        if self.fs.exists(lock) and self.fs.getFileStatus(tmp).getModificationTime() - self.fs.getFileStatus(lock).getModificationTime() > self.STALE_MS:
+            self.fs.delete(lock, False)
         if not self.fs.createNewFile(lock):
             self.fs.delete(tmp, False)
             raise ConflictError(f"version {state['version']} is being written")

@@ -72,13 +72,14 @@ class Store:
         self.manifest.commit(state)
         self.state = state
 
-    def write(self, ops: DataFrame, order: str | None = None, batch: str | None = None) -> None:
+    def write(self, ops: DataFrame, order: str | None = None, batch: tuple[str, int] | None = None) -> None:
         """Append (key, value, op) rows to the log in the order of column ``order``; without it keys must be unique.
 
         Rows are range-partitioned by ``order`` and numbered partition after partition, so numbers ascend with it (they may
-        skip). ``batch`` names the write; a name that was committed is not written again.
+        skip). ``batch`` is a stream's name and the batch's number, which ascends; a number up to the last one committed under that
+        name is not written again, so the state holds one number a stream.
         """
-        if batch is not None and batch in self.state["batches"]:
+        if batch is not None and batch[1] <= self.state["batches"].get(batch[0], -1):
             return
         cols = [F.col("key").cast("binary").alias("key"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")).alias("value"), F.col("op").cast("tinyint").alias("op")]
         if order is not None:
@@ -95,7 +96,7 @@ class Store:
             raise EngineError("a key must not be null")
         if not done.n:
             return
-        batches = self.state["batches"] | ({batch: self.state["version"] + 1} if batch is not None else {})
+        batches = self.state["batches"] | (dict([batch]) if batch is not None else {})
         self._commit(
             log=[*self.state["log"], {"path": segment, "rows": done.n, "bytes": done.bytes, "size": done.size}],
             next_seq=done.top + 1,

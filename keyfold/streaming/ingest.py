@@ -16,7 +16,7 @@ def ingest(ops: DataFrame, store: Store, checkpoint: str, order: str, name: str
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        store.write(df, order, batch=f"{name}-{number}")
+        store.write(df, order, batch=(name, number))
         if compact:
             store.compact_range()
 
