@@ -157,7 +157,10 @@ def link(sets: list[np.ndarray], labels: list[int], num: int, den: int) -> list[
 
 
 def _verify(groups: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Rows (bin, part, id, label, text) -> edges (a, b) found inside each (bin, part, cand), all of whose rows one task holds."""
+    """Rows (bin, part, id, label, text) -> edges (a, b) found inside each (bin, part, cand), all of whose rows one task holds.
+
+    b is the smallest label reached; ``partial`` tells edges of a block from those of a whole candidate component, which are its components.
+    """
 
     def run(pdf):
         import pandas as pd
@@ -171,9 +174,10 @@ def _verify(groups: DataFrame, width: int, num: int, den: int) -> DataFrame:
             got = link([sets[i] for i in full], [labels[i] for i in full], num, den)
             a += [ids[i] for i in full]
             b += got
-        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+        partial = len(pdf) > 0 and int(pdf["bin"].iloc[0]) < 0
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64), "partial": np.full(len(a), partial)})
 
-    return groups.groupBy("bin", "part").applyInPandas(run, "a long, b long").where("a <> b").distinct()
+    return groups.groupBy("bin", "part").applyInPandas(run, "a long, b long, partial boolean").where("a <> b").distinct()
 
 
 def near_components(
@@ -186,7 +190,7 @@ def near_components(
     of candidate components are dealt to tasks, each text once, and ``link`` compares whole sets there. A component
     beyond BLOCK_DOCS or BLOCK_SHINGLES is dealt in blocks: first every block together with the same few hub texts, which joins
     almost everything, then every text still outside the largest part against all blocks, so no link is lost and no
-    task holds more than a few blocks. 4. Verified edges give the components.
+    task holds more than a few blocks. 4. What a task found is a whole component, or, of blocks, edges whose components are found as in 2.
 
     Rows that share an id are one document. Null, empty and blank texts have an empty set and are linked with nothing.
     Rows without id are in no component (component_id null) unless their set equals that of a row with one, and are kept
@@ -228,10 +232,13 @@ def near_components(
             F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.when(small, F.lit(0).cast("long")).otherwise(spread)))
         ).alias("part"),
     )
-    edges = settle(_verify(first, width, num, den))
+    verified = settle(_verify(first, width, num, den))
+    # Whole candidate components are settled; only blocks of large ones need be brought together.
+    final = verified.where("not partial").select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    edges = verified.where("partial").select("a", "b")
     large = settle(totals.where(~small))
     if large.limit(1).count():
-        so_far = components(edges)
+        so_far = settle(components(edges))
         part = (
             sized.join(large.select("cand", "blocks"), "cand")
             .join(so_far.withColumnRenamed("node", "id"), "id", "left")
@@ -262,8 +269,9 @@ def near_components(
                 (-1 - F.abs(F.pmod(F.xxhash64("cand"), F.lit(1 << 40)))).alias("bin"),
                 F.explode(F.array_distinct(F.concat(as_all, as_rest))).alias("part"),
             )
-            edges = settle(edges.union(_verify(second, width, num, den)).union(so_far.select(F.col("node"), F.col("comp"))))
-    final = settle(components(edges))
+            more = _verify(second, width, num, den).select("a", "b")
+            so_far = settle(components(settle(edges.union(more).union(so_far.select("node", "comp")))))
+        final = final.union(so_far)
     table.drop()
     found = (
         named.select("id", "n", "rep")
