@@ -30,10 +30,10 @@ def topic(text: str = "text"):
 
 
 def mixture(docs: DataFrame) -> tuple[dict, dict[str, dict]]:
-    """Dimensions and targets: sources (the lightest and none pooled) by the square root of their tokens, languages and topics as given."""
-    source, mass = mixing.pooled(docs, F.col("source"))
+    """Dimensions and targets: every source (none counts as "other") by the square root of its tokens, languages and topics as given."""
+    source = F.coalesce(F.col("source").cast("string"), F.lit("other"))
     lang = F.when(F.col("lang").isin([x for x in LANGUAGES if x != "other"]), F.col("lang")).otherwise("other")
-    return {"source": source, "lang": lang, "topic": topic()}, {"source": mixing.tempered(mass, 0.5), "lang": LANGUAGES, "topic": TOPICS}
+    return {"source": source, "lang": lang, "topic": topic()}, {"source": 0.5, "lang": LANGUAGES, "topic": TOPICS}
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
