@@ -192,16 +192,38 @@ def _unpack(blob: bytes):
 FOLD_BYTES = 4 << 20
 #: Buckets of anchors in a partition.
 SUB = 8
+#: An anchor of about so many windows is hot: these are dealt by their own hashes. One row in SAMPLE is looked at to tell.
+HOT_WINDOWS, SAMPLE = 1 << 20, 64
 SPANS = "id long, tag long, spans binary"
 
 
+def _hot(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hot anchors in order, and the parts to deal each to, of a sample's rows (name, n)."""
+    many = counts.groupBy("name").agg((F.sum("n") * SAMPLE).alias("n")).where(F.col("n") >= HOT_WINDOWS).collect()
+    found = sorted((x.name % (1 << 64), 1 + -(-x.n // HOT_WINDOWS)) for x in many)
+    return np.array([x for x, _ in found], dtype=_U), np.array([x for _, x in found], dtype=_U)
+
+
+def _dealt(name: np.ndarray, whash: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """What each window is dealt by: its anchor, or where that is hot one of the anchor's parts, by the window's own hash.
+
+    ``hot`` has the hot anchors in order and the number of parts of each. Equal windows stay together either way.
+    """
+    names, parts = hot
+    if not len(names):
+        return name
+    at = np.minimum(np.searchsorted(names, name), len(names) - 1)
+    return np.where(names[at] == name, mix(name + mix(mix(whash) % parts[at] + _U(1))), name)
+
+
 def repeated_spans(rows: DataFrame, units, select: Selector, width: int, within: bool, stored: DataFrame) -> DataFrame:
     """Rows (id, tag, spans): one for each text with repeated windows, with the unit ranges they cover as int32 pairs.
 
     ``rows`` has (id, tag, text), where id and tag tell rows apart. Inside each slice of a few MB of texts, later windows are
     settled at once and only first ones travel, so a hot text costs a slice one set of rows, not one per copy. ``stored`` is the
     table whose size sets the number of partitions; a task holds one of its SUB buckets of anchors at a time. Found runs travel
-    back packed, so rows grow with the texts and not with the partitions they passed through.
+    back packed, so rows grow with the texts and not with the partitions they passed through. Which anchors are hot is told from a
+    sample before, and only decides where windows meet; at most one anchor for each HOT_WINDOWS windows reaches the driver.
     """
     n_parts = partitions(stored, 32 << 20)
     n_buckets = n_parts * SUB
@@ -214,7 +236,8 @@ def repeated_spans(rows: DataFrame, units, select: Selector, width: int, within:
             names=["part", "bucket", "data"],
         )
 
-    def spread(batches):
+    def folded(batches):
+        """The windows of each slice: (id, tag, position, whether later, hash, text, anchor's name and position)."""
         claim("spans")
         for b in batches:
             all_ids, all_tags = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
@@ -231,28 +254,42 @@ def repeated_spans(rows: DataFrame, units, select: Selector, width: int, within:
                 whash, d = window_hash(h, width)[valid], doc[valid]
                 ids, tags = all_ids[lo:hi][d], all_tags[lo:hi][d]
                 pos = valid - bounds[d]
-                late = later_windows(whash, ids, pos, within)
-                if late.any():
-                    home, blobs = zip(*_addressed(_runs(ids[late], tags[late], pos[late], width), n_parts), strict=True)
-                    yield batch(home, np.full(len(home), -1), blobs)
-                first = np.flatnonzero(~late)
-                whash, ids, tags, pos, d = whash[first], ids[first], tags[first], pos[first], d[first]
-                name, at = name[valid][first], at[valid][first]
-                new = np.r_[True, (d[1:] != d[:-1]) | (pos[1:] != pos[:-1] + 1) | (at[1:] != at[:-1])]
-                heads = np.flatnonzero(new)
-                counts = np.diff(np.r_[heads, len(d)])
-                bucket = (mix(name[heads]) % _U(n_buckets)).astype(np.int32)
-                order = np.lexsort((pos[heads], ids[heads], bucket))
-                heads, counts, bucket = heads[order], counts[order], bucket[order]
-                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-                ends = np.cumsum(counts)
-                take = np.repeat(heads - ends + counts, counts) + np.arange(len(d))
-                hashes, wcut = whash[take], np.r_[0, ends]
-                blobs = [
-                    _pack(ids[heads[i:j]], tags[heads[i:j]], pos[heads[i:j]].astype(np.int32), counts[i:j], hashes[wcut[i] : wcut[j]])
-                    for i, j in zip(cut[:-1], cut[1:], strict=True)
-                ]
-                yield batch(bucket[cut[:-1]] // SUB, bucket[cut[:-1]], blobs)
+                yield ids, tags, pos, later_windows(whash, ids, pos, within), whash, d, name[valid], at[valid]
+
+    def anchors(batches):
+        import pyarrow as pa
+
+        for _, _, _, late, _, _, name, _ in folded(batches):
+            names, n = np.unique(name[~late], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], names=["name", "n"])
+
+    texts = rows.select("id", "tag", "text")
+    some = texts.where(F.pmod(F.xxhash64("id", "tag"), F.lit(SAMPLE)) == 0).mapInArrow(anchors, "name long, n long")
+    hot = _hot(some)
+
+    def spread(batches):
+        for ids, tags, pos, late, whash, d, name, at in folded(batches):
+            if late.any():
+                home, blobs = zip(*_addressed(_runs(ids[late], tags[late], pos[late], width), n_parts), strict=True)
+                yield batch(home, np.full(len(home), -1), blobs)
+            first = np.flatnonzero(~late)
+            whash, ids, tags, pos, d = whash[first], ids[first], tags[first], pos[first], d[first]
+            name, at = _dealt(name[first], whash, hot), at[first]
+            new = np.r_[True, (d[1:] != d[:-1]) | (pos[1:] != pos[:-1] + 1) | (at[1:] != at[:-1]) | (name[1:] != name[:-1])]
+            heads = np.flatnonzero(new)
+            counts = np.diff(np.r_[heads, len(d)])
+            bucket = (mix(name[heads]) % _U(n_buckets)).astype(np.int32)
+            order = np.lexsort((pos[heads], ids[heads], bucket))
+            heads, counts, bucket = heads[order], counts[order], bucket[order]
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            ends = np.cumsum(counts)
+            take = np.repeat(heads - ends + counts, counts) + np.arange(len(d))
+            hashes, wcut = whash[take], np.r_[0, ends]
+            blobs = [
+                _pack(ids[heads[i:j]], tags[heads[i:j]], pos[heads[i:j]].astype(np.int32), counts[i:j], hashes[wcut[i] : wcut[j]])
+                for i, j in zip(cut[:-1], cut[1:], strict=True)
+            ]
+            yield batch(bucket[cut[:-1]] // SUB, bucket[cut[:-1]], blobs)
 
     def settle_bucket(blobs):
         ids, tags, starts, counts, hashes = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
@@ -316,7 +353,7 @@ def repeated_spans(rows: DataFrame, units, select: Selector, width: int, within:
             )
 
     moved = "part int, bucket int, data binary"
-    sent = rows.select("id", "tag", "text").mapInArrow(spread, moved)
+    sent = texts.mapInArrow(spread, moved)
     found = sent.repartitionById(n_parts, F.col("part")).sortWithinPartitions("bucket").mapInArrow(gather, moved)
     return found.repartitionById(n_parts, F.col("part")).mapInArrow(merge, SPANS)
 
