@@ -7,8 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import CorruptionError
-
 
 def sizing(n: int, fpr: float) -> tuple[int, int]:
     """Bits and hash functions for ``n`` keys at a false-positive rate."""
@@ -43,15 +41,48 @@ def may_contain(probes: DataFrame, words: DataFrame, key: str, n_bits: int, n_ha
     return at.join(words, "word_no", "left").groupBy(key).agg((F.min(bit) == 1).alias("maybe"))
 
 
-def serialize(words: DataFrame, n_bits: int, n_hashes: int) -> dict:
-    """A filter as one value: its words in order, zeros included. Bounded by n_bits."""
-    got = {r.word_no: r.bits for r in words.collect()}
-    return {"num_hashes": n_hashes, "num_bits": n_bits, "words": [got.get(i, 0) for i in range(-(-n_bits // 64))]}
+#: Bytes before the words: the number of hash functions (4) and of bits (8), little-endian.
+HEADER = 12
+
+
+def _reversed(h: Column, n: int) -> Column:
+    """``n`` bytes in hexadecimal, the last one first."""
+    return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(n))])
+
+
+def serialize(words: DataFrame, by: str, n_bits: int, n_hashes: int) -> DataFrame:
+    """Rows (by, word_no, bits) -> (by, data): each filter as bytes, words in order, zeros included.
 
+    A filter's size is set by ``n_bits``, so a group never holds more than its words.
+    """
+    n = -(-n_bits // 64)
+    have = words.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("word_no", "bits"))).alias("have"))
+    zero = F.lit(0).cast("bigint")
+    one = lambda i: _reversed(F.lpad(F.hex(F.coalesce(F.try_element_at("have", i), zero)), 16, "0"), 8)
+    head = n_hashes.to_bytes(4, "little").hex() + n_bits.to_bytes(8, "little").hex()
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one), "")
+    return have.select(by, F.unhex(F.concat(F.lit(head), body)).alias("data"))
 
-def validate(blob: dict) -> dict:
-    if not {"num_hashes", "num_bits", "words"} <= blob.keys():
-        raise CorruptionError("a Bloom filter needs num_hashes, num_bits and words")
-    if len(blob["words"]) != -(-blob["num_bits"] // 64) or blob["num_hashes"] < 1:
-        raise CorruptionError("a Bloom filter's words do not fit its bits")
-    return blob
+
+def deserialize(filters: DataFrame, data: str = "data") -> DataFrame:
+    """Adds status (ok, short, word count or length), num_hashes, num_bits and words; the last three are null unless ok.
+
+    ``short`` lacks a whole header, ``word count`` has a number of words that its bits do not ask for, ``length`` ends inside a word.
+    """
+    h = F.hex(data)
+    number = lambda at, n: F.conv(_reversed(F.substring(h, 2 * at + 1, 2 * n), n), 16, 10)
+    size = F.octet_length(data)
+    hashes, bits = number(0, 4).cast("bigint"), number(4, 8).cast("bigint")
+    n = F.floor((size - HEADER) / 8).cast("bigint")
+    status = (
+        F.when(size < HEADER, "short")
+        .when(F.pmod(size - HEADER, F.lit(8)) != 0, "length")
+        .when((n != F.ceil(bits / 64)) | (hashes < 1), "word count")
+        .otherwise("ok")
+    )
+    ok = F.col("status") == "ok"
+    word = lambda i: F.conv(_reversed(h.substr((2 * HEADER + 16 * i + 1).cast("int"), F.lit(16)), 8), 16, -10).cast("bigint")
+    words = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), word)).otherwise(F.array().cast("array<bigint>"))
+    return filters.withColumn("status", status).select(
+        "*", F.when(ok, hashes).alias("num_hashes"), F.when(ok, bits).alias("num_bits"), F.when(ok, words).alias("words")
+    )

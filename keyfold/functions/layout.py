@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of a block besides entries: the count; of an entry besides key and value: two lengths and its offset.
@@ -20,7 +20,7 @@ def pack_blocks(entries: DataFrame, block_size: int, run: str = "run_id", key: s
     """Adds block_no (bigint): entries fill a block in key order until the next one does not fit; the first always does.
 
     The fill level carries over from row to row, so a run is read once, in order, by one task; memory holds one batch. Runs
-    are the unit of size (compaction splits them), so tasks stay even.
+    are the unit of size: compactions begin a new one after ``Options.run_size`` bytes, so tasks stay even.
     """
     schema = entries.schema
     columns = entries.columns
@@ -44,12 +44,14 @@ def pack_blocks(entries: DataFrame, block_size: int, run: str = "run_id", key: s
 
 
 def block_index(packed: DataFrame, run: str = "run_id", key: str = "key", size: str = "size") -> DataFrame:
-    """Per block its last key, number of entries and bytes."""
-    return packed.groupBy(run, "block_no").agg(
+    """Per block its last key, number of entries, bytes, and offset in the run."""
+    blocks = packed.groupBy(run, "block_no").agg(
         F.max(key).alias("last_key"),
         F.count("*").alias("n"),
         (F.sum(size) + OFFSET_BYTES * F.count("*") + BLOCK_OVERHEAD).cast("bigint").alias("bytes"),
     )
+    before = Window.partitionBy(run).orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumn("offset", F.coalesce(F.sum("bytes").over(before), F.lit(0)).cast("bigint"))
 
 
 def file_sizes(index: DataFrame, metadata: DataFrame, bloom_bytes: Column, run: str = "run_id") -> DataFrame:

@@ -17,6 +17,16 @@ def _le32(n: Column) -> Column:
     return F.unhex(F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2)))
 
 
+def put_record(key: Column, value: Column) -> list[Column]:
+    """The columns (op, key, value) of a put."""
+    return [F.lit(PUT).cast("tinyint").alias("op"), key.cast("binary").alias("key"), value.cast("binary").alias("value")]
+
+
+def delete_record(key: Column) -> list[Column]:
+    """The columns (op, key, value) of a delete, whose value is empty."""
+    return [F.lit(DELETE).cast("tinyint").alias("op"), key.cast("binary").alias("key"), F.lit(b"").alias("value")]
+
+
 def encoded_size(key: str = "key", value: str = "value") -> Column:
     return (F.lit(HEADER) + F.octet_length(key) + F.octet_length(value)).cast("bigint")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settle
 from .merge import is_tombstone, newest_wins
 
 
@@ -24,11 +25,23 @@ def overlapping(runs: DataFrame, low, high) -> DataFrame:
     return runs.where((F.col("min_key") <= F.lit(high)) & (F.col("max_key") >= F.lit(low)))
 
 
-def overlap_pairs(runs: DataFrame) -> DataFrame:
-    """Pairs run_a < run_b with overlapping ranges. Runs are metadata, thousands of rows however large the data."""
-    a, b = runs.alias("a"), runs.alias("b")
-    meet = (F.col("a.run_id") < F.col("b.run_id")) & (F.col("a.min_key") <= F.col("b.max_key")) & (F.col("b.min_key") <= F.col("a.max_key"))
-    return a.join(b, meet).select(F.col("a.run_id").alias("run_a"), F.col("b.run_id").alias("run_b"))
+def overlap_pairs(runs: DataFrame, per_bucket: int = 64) -> DataFrame:
+    """Pairs run_a < run_b with overlapping ranges, by an equality join on buckets of key ranges.
+
+    Buckets hold ``per_bucket`` of the runs' least keys each; a run is in all buckets its range meets, and a pair is told in the first
+    that both are in. Runs that meet nothing but neighbours are compared with these alone. Bounds are a row a bucket.
+    """
+    order = Window.orderBy("min_key")  # of metadata: a row a run
+    heads = runs.select("min_key").distinct().withColumn("n", F.row_number().over(order))
+    bounds = heads.where(F.pmod(F.col("n") - 1, F.lit(per_bucket)) == 0).select(((F.col("n") - 1) / per_bucket).cast("int").alias("bucket"), F.col("min_key").alias("low"))
+    spans = bounds.withColumn("high", F.lead("low").over(Window.orderBy("low")))
+    meets = (F.col("max_key") >= F.col("low")) & (F.col("high").isNull() | (F.col("min_key") < F.col("high")))
+    inside = settle(runs.select("run_id", "min_key", "max_key").join(F.broadcast(spans), meets).select("run_id", "min_key", "max_key", "bucket", "low"))
+    a, b = inside.alias("a"), inside.alias("b")
+    meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.run_id") < F.col("b.run_id"))
+    meet = meet & (F.col("a.min_key") <= F.col("b.max_key")) & (F.col("b.min_key") <= F.col("a.max_key"))
+    first = (F.col("a.min_key") >= F.col("a.low")) | (F.col("b.min_key") >= F.col("b.low"))  # one begins here, so no earlier bucket has both
+    return a.join(b, meet & first).select(F.col("a.run_id").alias("run_a"), F.col("b.run_id").alias("run_b"))
 
 
 def size_tiered_pick(runs: DataFrame, threshold: int) -> DataFrame:

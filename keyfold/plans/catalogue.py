@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bloom, cache, layout, records
-from ..operators import compaction, merge, reads
-from ..schema import DELETE, PUT
+from ..functions.lineage import checkpoint_dir, settle
+from ..operators import compaction, memtable, merge, reads
+from ..schema import DELETE, PUT, Options
 from ..sources import manifest
+from ..sources.store import Store
 
 VALUE = "value"
 
@@ -360,27 +364,70 @@ def wal_replay_from_log_number(spark, d):
     return merge.newest_by_seq(_segments(spark, d).where("segment >= 6")).select("key", "seq", "op", "value")
 
 
-@query()
+def _le(x: str) -> str:
+    """SQL: four bytes of a number in hexadecimal, the least first."""
+    h = f"printf('%08X', cast({x} as bigint))"
+    return "(" + " || ".join(f"substr({h}, {at}, 2)" for at in (7, 5, 3, 1)) + ")"
+
+
+_BODY = f"""bodies as (
+  select *, {_le("5 + strlen(key) + strlen(value)")} || printf('%02X', op) || {_le("strlen(key)")} || hex(encode(key || value)) as body from elog),
+ tab as (select list(list_reduce(list_prepend(b, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by b) as t
+         from range(256) r(b)),
+ summed as (
+  select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, len(body) // 2), lambda i: cast('0x' || substr(body, 2 * i + 1, 2) as bigint))),
+                            lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as crc from bodies, tab)"""
+
+
+@query(f"with {_ELOG}, {_BODY} select run_id as segment, seq, crc from summed")
 def crc32_records(spark, d):
+    """The checksum of every record; the SQL works it out from the polynomial."""
     return _segments(spark, d).select("segment", "seq", records.checksum().alias("crc"))
 
 
-@query(f"""with {_ELOG} select seq, case when seq % 5 = 1 then 'short header' when seq % 5 = 2 then 'truncated' when seq % 5 = 3 then 'bad checksum' else 'ok' end as status,
- case when seq % 5 in (0, 4) then key end as key, case when seq % 5 in (0, 4) then value end as value from elog""")
+@query(f"with {_ELOG}, {_BODY} select seq, {_le('crc')} || body as record, cast(13 + strlen(key) + strlen(value) as bigint) as size from summed")
+def wal_encode(spark, d):
+    """Every record as bytes, in hexadecimal."""
+    return event_log(spark, d).select("seq", F.hex(records.encode_record()).alias("record"), records.encoded_size().alias("size"))
+
+
+@query(f"with {_ELOG} select seq, cast(op as tinyint) as op, hex(encode(key)) as key, hex(encode(value)) as value from elog")
+def record_constructors(spark, d):
+    """Puts and deletes made by the constructors; a delete's value is empty."""
+    log = event_log(spark, d)
+    puts = log.where(F.col("op") == PUT).select("seq", *records.put_record(F.col("key"), F.col("value")))
+    gone = log.where(F.col("op") == DELETE).select("seq", *records.delete_record(F.col("key")))
+    return puts.union(gone).select("seq", "op", F.hex("key").alias("key"), F.hex("value").alias("value"))
+
+
+@query(f"""with {_ELOG} select seq, case seq % 8 when 1 then 'short header' when 2 then 'truncated' when 3 then 'bad checksum' when 5 then 'bad type'
+ when 6 then 'bad key length' else 'ok' end as status, case when seq % 8 in (0, 4, 7) then key end as key, case when seq % 8 in (0, 4, 7) then value end as value,
+ cast(case when seq % 8 in (0, 4, 7) then op end as tinyint) as op from elog""")
 def wal_decode_classify(spark, d):
-    """Records are encoded, three in five damaged, and decoded again."""
-    data = records.encode_record()
-    n = F.octet_length("raw")
-    kind = F.pmod("seq", F.lit(5))
+    """Records are encoded, five in eight damaged, two of these with a checksum that fits, and decoded again."""
+    n, kind = F.octet_length("raw"), F.pmod("seq", F.lit(8))
+
+    def sealed(body):
+        return F.concat(records._le32(F.crc32(body)), body)
+
+    part = lambda name, at, to: F.col(name).substr(F.lit(at), to)
     hurt = (
         F.when(kind == 1, F.substring("raw", 1, 9))
-        .when(kind == 2, F.col("raw").substr(F.lit(1), n - 1))
-        .when(kind == 3, F.concat(F.substring("raw", 1, 8), F.unhex(F.lit("03")), F.col("raw").substr(F.lit(10), n)))
+        .when(kind == 2, part("raw", 1, n - 1))
+        .when(kind == 3, F.concat(F.substring("raw", 1, 8), F.unhex(F.lit("03")), part("raw", 10, n)))
+        .when(kind == 5, sealed(F.concat(F.substring("body", 1, 4), F.unhex(F.lit("03")), part("body", 6, n))))
+        .when(kind == 6, sealed(F.concat(F.substring("body", 1, 5), F.unhex(F.lit("FFFFFF0F")), part("body", 10, n))))
         .otherwise(F.col("raw"))
     )
-    rows = event_log(spark, d).select("seq", data.alias("raw")).select("seq", hurt.alias("data"))
+    rows = event_log(spark, d).select("seq", records.encode_record().alias("raw"), records.record_body().alias("body")).select("seq", hurt.alias("data"))
     out = records.decode_record(rows)
-    return out.select("seq", "status", F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
+    return out.select("seq", "status", F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"), "op")
+
+
+@query(f"with {_ELOG} select max(run_id) + 1 as next_segment, count(distinct run_id) as n_segments from elog")
+def wal_next_segment(spark, d):
+    """The number of the segment that a rotation begins: the greatest there is plus one."""
+    return _segments(spark, d).agg((F.max("segment") + 1).alias("next_segment"), F.countDistinct("segment").alias("n_segments"))
 
 
 # ---------------------------------------------------------------- manifest
@@ -432,6 +479,23 @@ def log_number(spark, d):
     return manifest.log_number(_manifest(spark, d))
 
 
+@query(f"with {_RUNS} select run_id * 2 + k as ordinal from runs, (values (0), (1)) t(k) where run_id * 2 + k < (select max(run_id) from runs)")
+def manifest_valid_prefix(spark, d):
+    """Records before the first that does not match its checksum, here one in the middle of the log."""
+    log = _manifest(spark, d)
+    middle = log.where("ordinal < 1000000000").agg(F.floor(F.max("ordinal") / 2).alias("at"))
+    marked = log.join(F.broadcast(middle)).withColumn("ok", F.col("ordinal") != F.col("at"))
+    return manifest.valid_records(marked, F.col("ok")).select("ordinal")
+
+
+@query(f"with {_RUNS} select run_id, cast(2 as bigint) as times from runs where run_id % 3 = 1")
+def manifest_added_twice(spark, d):
+    """A log that adds some runs again; replay relies on a sound one having none."""
+    log = _manifest(spark, d)
+    again = log.where((F.col("tag") == manifest.FLUSH) & (F.pmod(F.col("ordinal") / 2, F.lit(3)) == 1)).withColumn("ordinal", F.col("ordinal") + 10**6)
+    return manifest.added_twice(log.union(again))
+
+
 # ---------------------------------------------------------------- layout, filters, cache, statistics
 
 
@@ -457,7 +521,10 @@ def block_packing(spark, d):
     return _packed(spark, d).select("run_id", "key", "size", "block_no")
 
 
-@query(f"with {_BLOCKS} select run_id, block_no, max(key) as last_key, count(*) as n, cast(sum(size) + 2 * count(*) + 2 as bigint) as bytes from fold group by run_id, block_no")
+_INDEX = "ix as (select run_id, block_no, max(key) as last_key, count(*) as n, cast(sum(size) + 2 * count(*) + 2 as bigint) as bytes from fold group by run_id, block_no)"
+
+
+@query(f"with {_BLOCKS}, {_INDEX} select *, cast(sum(bytes) over (partition by run_id order by block_no) - bytes as bigint) as \"offset\" from ix")
 def block_index(spark, d):
     return layout.block_index(_packed(spark, d))
 
@@ -479,11 +546,12 @@ def run_file_size(spark, d):
     return _file_sizes(spark, d)
 
 
-@query(f"with {_FILES}, u as (select sum(strlen(key) + strlen(value)) as b from elog) select round(cast(sum(file_size) as double) / max(b), 6) as write_amplification from files, u")
+@query(f"with {_FILES}, u as (select sum(strlen(key) + strlen(value)) as b from elog) select case when max(b) > 0 then round(cast(sum(file_size) as double) / max(b), 6) else 0.0 end as write_amplification from files, u")
 def write_amplification(spark, d):
     user = event_log(spark, d).agg(F.sum(F.octet_length("key") + F.octet_length("value")).alias("b"))
     disk = _file_sizes(spark, d).agg(F.sum("file_size").alias("f"))
-    return disk.crossJoin(user).select(F.round(F.col("f").cast("double") / F.col("b"), 6).alias("write_amplification"))
+    rate = F.when(F.col("b") > 0, F.round(F.col("f").cast("double") / F.col("b"), 6)).otherwise(0.0)
+    return disk.crossJoin(user).select(rate.alias("write_amplification"))  # a row each
 
 
 @query("""select n, p, cast(greatest(64, ceil(n * -1.44 * log2(p))) as bigint) as num_bits, cast(greatest(1, ceil(-1.44 * log2(p) * ln(2))) as bigint) as num_hashes
@@ -493,9 +561,9 @@ def bloom_sizing(spark, d):
     return spark.createDataFrame(rows, "n bigint, p double, num_bits bigint, num_hashes bigint")
 
 
-def _filter(spark, d):
+def _filter(spark, d, fpr=0.01):
     keys = order_log(spark, d).select("key").distinct()
-    bits, hashes = bloom.sizing(max(1, keys.count()), 0.01)
+    bits, hashes = bloom.sizing(max(1, keys.count()), fpr)
     return keys, bloom.build(keys, "key", bits, hashes), bits, hashes
 
 
@@ -505,12 +573,40 @@ def bloom_no_false_negatives(spark, d):
     return bloom.may_contain(keys, words, "key", bits, hashes).where("not maybe").agg(F.count("*").alias("n"))
 
 
-@query("select true as within_twice_the_target")
+@query("select cast(p as double) as fpr, true as within_twice_the_target from (values (0.1), (0.05), (0.01), (0.001)) t(p)")
 def bloom_fpr(spark, d):
-    _, words, bits, hashes = _filter(spark, d)
+    """The measured rate of 20,000 keys that were not built in, for four targets."""
     probes = spark.range(20_000).select(F.format_string("none_%08d", "id").alias("key"))
-    rate = bloom.may_contain(probes, words, "key", bits, hashes).agg(F.avg(F.col("maybe").cast("int")).alias("r"))
-    return rate.select((F.col("r") < 0.02).alias("within_twice_the_target"))
+    out = None
+    for fpr in (0.1, 0.05, 0.01, 0.001):
+        _, words, bits, hashes = _filter(spark, d, fpr)
+        rate = bloom.may_contain(probes, words, "key", bits, hashes).agg(F.avg(F.col("maybe").cast("int")).alias("r"))
+        row = rate.select(F.lit(fpr).alias("fpr"), (F.col("r") < 2 * fpr).alias("within_twice_the_target"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query(f"""with {_RUNS} select run_id, case run_id % 5 when 1 then 'short' when 2 then 'length' when 3 then 'word count' else 'ok' end as status,
+ cast(case when run_id % 5 in (0, 4) then 5 end as bigint) as num_hashes, cast(case when run_id % 5 in (0, 4) then 1000 end as bigint) as num_bits,
+ case when run_id % 5 in (0, 4) then true end as same from runs""")
+def bloom_round_trip(spark, d):
+    """A filter for each run as bytes, three in five damaged, and back; what comes back is what was built."""
+    bits, hashes = 1000, 5
+    keys = event_log(spark, d).select("run_id", "key").distinct()
+    at = keys.select("run_id", F.explode(bloom.positions(F.col("key"), bits, hashes)).alias("p"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("p", F.lit(64)).cast("int"))
+    words = settle(at.groupBy("run_id", F.floor(F.col("p") / 64).cast("int").alias("word_no")).agg(F.bit_or(one).alias("bits")))
+    kind, data = F.pmod("run_id", F.lit(5)), F.col("data")
+    hurt = (
+        F.when(kind == 1, F.substring("data", 1, 11))
+        .when(kind == 2, data.substr(F.lit(1), F.octet_length("data") - 3))
+        .when(kind == 3, data.substr(F.lit(1), F.octet_length("data") - 8))
+        .otherwise(data)
+    )
+    back = bloom.deserialize(bloom.serialize(words, "run_id", bits, hashes).withColumn("data", hurt))
+    built = words.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("word_no", "bits"))).alias("built"))  # a filter's words
+    some = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("word_no"), w.alias("bits"))), lambda x: x.bits != 0)
+    return back.join(built, "run_id").select("run_id", "status", "num_hashes", "num_bits", F.when(F.col("status") == "ok", some == F.col("built")).alias("same"))
 
 
 _TRACE = """trace as (select event_id as i, user_id as u, user_id % 8 as shard, row_number() over (partition by user_id % 8 order by event_id) as pos from events),
@@ -531,6 +627,32 @@ def lru_hit_count(spark, d):
     return cache.simulate(trace, 5).groupBy("shard").agg(F.count(F.when(F.col("hit"), 1)).alias("hits"), F.count("*").alias("accesses"))
 
 
+_BLOCK_TRACE = """trace as (
+  select event_id, user_id % 10 as shard, (user_id % 10) || ':' || (user_id // 10 % 20) * 512 as block, cast(100 + (user_id // 10 % 20) * 97 % 400 as bigint) as size,
+         row_number() over (partition by user_id % 10 order by event_id) as pos from events)"""
+
+
+@query(f"""with recursive {_BLOCK_TRACE}, sim(shard, pos, items, hits) as (
+  select shard, pos, [{{'b': block, 's': size}}], cast(0 as bigint) from trace where pos = 1
+  union all
+  select t.shard, t.pos,
+    case when list_contains(list_transform(items, lambda y: y.b), block) then list_append(list_filter(items, lambda y: y.b <> block), {{'b': block, 's': size}})
+         else list_filter(list_append(items, {{'b': block, 's': size}}), lambda y, i: i > len(items)
+              or size + list_sum(list_transform(items[i:], lambda z: z.s)) <= 1500) end,
+    hits + cast(list_contains(list_transform(items, lambda y: y.b), block) as bigint)
+  from sim s join trace t on t.shard = s.shard and t.pos = s.pos + 1)
+select shard, max(hits) as hits, max(pos) as accesses, round(max(hits) / max(pos), 6) as hit_rate from sim group by shard""")
+def block_cache_hits(spark, d):
+    """A cache of 1500 bytes a shard over blocks (run, offset) of 100 to 500 bytes; the SQL keeps the list of blocks step by step."""
+    nth = F.floor(F.col("user_id") / 10) % 20
+    trace = spark.read.parquet(f"{d}/events.parquet").select(
+        F.col("event_id").alias("i"), F.pmod("user_id", F.lit(10)).alias("shard"), F.concat_ws(":", F.pmod("user_id", F.lit(10)), nth * 512).alias("key"),
+        (100 + nth * 97 % 400).alias("size"),
+    )
+    got = cache.simulate(trace, 1500).groupBy("shard").agg(F.count(F.when(F.col("hit"), 1)).alias("hits"), F.count("*").alias("accesses"))
+    return got.withColumn("hit_rate", F.round(F.col("hits") / F.col("accesses"), 6))
+
+
 @query(f"with {_ELOG} select cast(sum(strlen(key) + strlen(value)) as bigint) as bytes_written, count(*) as n_ops, count(distinct key) as n_keys, count(*) filter (where op = 2) as n_deletes from elog")
 def stats_row(spark, d):
     return event_log(spark, d).agg(
@@ -541,10 +663,91 @@ def stats_row(spark, d):
     )
 
 
-@query(f"with {_ELOG}, t as (select * from elog where run_id >= 8), {_NEW.format('t')} select coalesce(cast(sum(strlen(key) + strlen(value)) as bigint), 0) as memtable_size from newest")
+@query(f"""with {_ELOG}, t as (select * from elog where run_id >= 8), k as (select key, sum(strlen(value)) as v from t group by key)
+select coalesce(cast(sum(strlen(key) + v) as bigint), 0) as memtable_size from k""")
 def memtable_size(spark, d):
-    tail = merge.newest_by_seq(event_log(spark, d).where("run_id >= 8"))
-    return tail.agg(F.coalesce(F.sum(F.octet_length("key") + F.octet_length("value")), F.lit(0)).cast("bigint").alias("memtable_size"))
+    """The size of the table that holds the log's tail: overwriting adds, and nothing is given back."""
+    return memtable.size(event_log(spark, d).where("run_id >= 8"))
+
+
+@query(f"""with {_ELOG}, f as (select seq, strlen(value) + case when row_number() over (partition by key order by seq) = 1 then strlen(key) else 0 end as added from elog)
+select seq, cast(added as bigint) as added from f""")
+def memtable_growth(spark, d):
+    """By how much each record makes the table grow."""
+    return memtable.sizes(event_log(spark, d)).select("seq", "added")
+
+
+@query(f"""with {_ELOG}, s as (select max(seq) as m from elog), t as (select elog.* from elog, s where seq > m // 4), {_NEW.format('t')}
+select key, seq, op, value from newest""")
+def memtable_freeze(spark, d):
+    """Frozen after a quarter and after half of the log: the second freeze puts its table in the first one's place."""
+    log = event_log(spark, d)
+    top = log.agg(F.max("seq")).first()[0] or 0
+    return memtable.frozen(log, [top // 4, top // 2]).select("key", "seq", "op", "value")
+
+
+# ---------------------------------------------------------------- the store itself
+
+
+def _stored(spark, d, read):
+    """What ``read`` makes of a store to which the events were written in three parts, flushed after each but the last, and compacted."""
+    path = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    options = Options(memtable_size=1 << 40, l0_threshold=2, key_partitions=4, run_size=20_000)
+    store = Store(spark, path, options)
+    log = event_log(spark, d)
+    top = log.agg(F.max("seq")).first()[0] or 0
+    ops = log.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "op", "seq")
+    for part in range(3):
+        store.write(ops.where((F.col("seq") > top * part // 3 - (part == 0)) & (F.col("seq") <= top * (part + 1) // 3)), order="seq")
+        if part < 2:
+            store.flush()
+    store.compact_range()
+    again = Store(spark, path, options)  # as after a crash: nothing was closed
+    again.check()
+    out = settle(read(again))
+    again.manifest.fs.delete(again.manifest._path(path), True)
+    return out
+
+
+@query(_e("select key, value from live"))
+def store_scan(spark, d):
+    """All live entries of a store that was written, flushed, compacted and opened again."""
+    return _stored(spark, d, lambda s: s.scan().select(F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value")))
+
+
+@query(_e("select key, value from live where key >= 'user_000010' and key < 'user_000040'"))
+def store_snapshot_range(spark, d):
+    """A range of a snapshot, which a later delete of all keys does not change."""
+
+    def read(store):
+        snap = store.snapshot()
+        store.delete_all(store.scan().select("key"))
+        rows = settle(snap.scan(b"user_000010", b"user_000040"))
+        snap.release()
+        return rows.select(F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
+
+    return _stored(spark, d, read)
+
+
+@query(f"""with {_ELOG}, m as (select max(seq) as top from elog), b as (select strlen(key) + strlen(value) as n, seq > top * 2 // 3 as tail from elog, m)
+select coalesce(cast(sum(n) filter (where tail) as bigint), 0) as memtable_size, cast(0 as integer) as level0_runs, cast(sum(n) as bigint) as bytes_written,
+ cast(1 as bigint) as compaction_count, true as written_at_least_once, cast(0 as double) as bloom_filter_hit_rate, cast(0.5 as double) as block_cache_hit_rate,
+ true as read_once from b""")
+def store_stats(spark, d):
+    """The store's statistics after one key was got twice from one run, the second time from files opened before."""
+
+    def read(store):
+        first = next(r for r in store.runs() if r["level"] == 1)
+        key = Store.decode_key(first["min_key"])
+        store.get(key)
+        store.get(key)
+        return store.stats().select(
+            "memtable_size", F.get("num_runs_per_level", F.lit(0)).alias("level0_runs"), "bytes_written", "compaction_count",
+            (F.col("total_run_bytes") > 0).alias("written_at_least_once"), "bloom_filter_hit_rate", "block_cache_hit_rate",
+            (F.col("bytes_read") == first["file_size"]).alias("read_once"),
+        )
+
+    return _stored(spark, d, read)
 
 
 def queries() -> dict:

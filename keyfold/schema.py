@@ -8,6 +8,7 @@ from enum import StrEnum
 PUT, DELETE = 1, 2
 
 OPLOG = "seq bigint, op tinyint, key binary, value binary, segment bigint"
+LOGGED = "key binary, value binary, seq bigint, op tinyint, crc bigint"
 ENTRIES = "key binary, value binary, seq bigint, op tinyint"
 RUNS = (
     "run_id bigint, level int, pos int, min_key binary, max_key binary, file_size bigint, entry_count bigint, "
@@ -39,9 +40,8 @@ class CompactionStyle(StrEnum):
 
 @dataclass(frozen=True)
 class SyncPolicy:
-    """After how many records a segment is committed: every one, every n-th, or by time (a streaming trigger)."""
+    """When records are made durable: a batch that is written is; a stream's batches are made every ``every_ms``, or of all there is."""
 
-    every_n: int = 1
     every_ms: int | None = None
 
 
@@ -57,4 +57,5 @@ class Options:
     block_cache_size: int = 8 << 20
     sync: SyncPolicy = SyncPolicy()
     style: CompactionStyle = CompactionStyle.LEVELED
-    key_partitions: int | None = None  # output partitions of a run; None: the session's shuffle partitions
+    run_size: int = 256 << 20  # bytes after which a compaction begins the next run
+    key_partitions: int | None = None  # output partitions of a flush or compaction; None: the session's shuffle partitions

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
+import zlib
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,12 @@ def replay(records: DataFrame) -> DataFrame:
     return added.join(removed, "run_id", "left_anti")
 
 
+def added_twice(records: DataFrame) -> DataFrame:
+    """Run ids that records since the last checkpoint add more than once; a sound manifest has none, which ``replay`` relies on."""
+    added = since_checkpoint(records).select(F.explode("added.run_id").alias("run_id"))
+    return added.groupBy("run_id").agg(F.count("*").alias("times")).where("times > 1")
+
+
 def next_run_id(records: DataFrame) -> DataFrame:
     """One row: the largest id ever added, or reserved by a checkpoint, plus one."""
     ids = records.select(F.explode("added.run_id").alias("id")).union(records.select(F.col("next_run_id") - 1))
@@ -43,15 +52,53 @@ def log_number(records: DataFrame) -> DataFrame:
     return records.where("log_number is not null").agg(F.coalesce(F.max_by("log_number", "ordinal"), F.lit(0)).alias("log_number"))
 
 
+def encode(record: dict) -> str:
+    """A record with the checksum of its text."""
+    body = json.dumps(record, sort_keys=True)
+    return json.dumps({"crc": zlib.crc32(body.encode()), "body": body})
+
+
+def decode(text: str) -> dict:
+    try:
+        outer = json.loads(text)
+        body = outer["body"]
+        if zlib.crc32(body.encode()) != outer["crc"]:
+            raise CorruptionError("a manifest record's checksum does not match")
+        return json.loads(body)
+    except (ValueError, KeyError, TypeError, AttributeError) as e:
+        raise CorruptionError(f"a manifest record cannot be read: {e}") from e
+
+
+def apply(state: dict | None, record: dict) -> dict:
+    """The state after one more record. A run's id that was given out before is never added again."""
+    if record["tag"] == CHECKPOINT:
+        return record["state"]
+    if state is None:
+        raise CorruptionError("a manifest begins with a checkpoint")
+    added, removed = record.get("added", []), set(record.get("removed", []))
+    if any(r["run_id"] < state["next_run_id"] for r in added):
+        raise CorruptionError("a run id is added again")
+    if not removed <= {r["run_id"] for r in state["runs"]}:
+        raise CorruptionError("a run is removed that is not there")
+    return state | {
+        "version": state["version"] + 1,
+        "runs": [r for r in state["runs"] if r["run_id"] not in removed] + added,
+        "next_run_id": max([state["next_run_id"], *(r["run_id"] + 1 for r in added)]),
+        "log": ([] if record["tag"] == FLUSH else state["log"]) + record.get("segments", []),
+        "batches": state["batches"] | record.get("batch", {}),
+    } | record.get("set", {})
+
+
 class ManifestLog:
-    """Versions 1, 2, ... as JSON files of whole states in ``<path>/manifest``; creating a version's file is its commit.
+    """Versions 1, 2, ... as JSON files in ``<path>/manifest``, each one record; creating a version's file is its commit.
 
-    A lock file beside it is created exclusively through Hadoop's file system, so of two writers one fails; a lock that a lost
-    writer left goes after STALE_MS. Every version is a checkpoint; ``prune`` removes old ones.
+    A record says what a write, a flush or a compaction changed; every EVERY-th is a checkpoint of the whole state, so a commit is as
+    large as its change and opening reads EVERY files at most. A lock file is created exclusively through Hadoop's file system, so of two
+    writers one fails; a lock that a lost writer left goes after STALE_MS. Commits are renamed in whole, so a record that cannot be
+    read is no torn write but damage, and opening reports it. ``prune`` removes old versions.
     """
 
-    STALE_MS = 600_000
-
+    STALE_MS, EVERY = 600_000, 16
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.dir = spark, f"{path}/manifest"
@@ -60,10 +107,17 @@ class ManifestLog:
         self.fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.fs.mkdirs(self._path(self.dir))
 
+    def _file(self, version: int):
+        return self._path(f"{self.dir}/{version:020d}.json")
+
     def versions(self) -> list[int]:
         names = [f.getPath().getName() for f in self.fs.listStatus(self._path(self.dir))]
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
+    def base(self, version: int) -> int:
+        """The checkpoint that a version is read from."""
+        return version - (version - 1) % self.EVERY
+
     def load(self, version: int | None = None) -> dict | None:
         known = self.versions()
         if not known:
@@ -71,41 +125,52 @@ class ManifestLog:
         version = version or known[-1]
         if version not in known:
             raise NotFoundError(f"manifest version {version}")
-        stream = self.fs.open(self._path(f"{self.dir}/{version:020d}.json"))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        try:
-            return json.loads(text)
-        except ValueError as e:
-            raise CorruptionError(f"manifest version {version}: {e}") from e
-
-    def commit(self, state: dict) -> None:
-        """Publish ``state`` as its version; a ConflictError if that version exists. A torn write is never visible: the content is renamed in."""
-        name = f"{self.dir}/{state['version']:020d}.json"
-        if self.fs.exists(self._path(name)):
-            raise ConflictError(f"version {state['version']} is taken")
-        import uuid
-
+        state = None
+        for v in range(self.base(version), version + 1):
+            if v not in known:
+                raise NotFoundError(f"manifest version {v}")
+            try:
+                stream = self.fs.open(self._file(v))
+                try:
+                    text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                finally:
+                    stream.close()
+            except Py4JJavaError as e:
+                raise CorruptionError(f"manifest version {v}: {e.java_exception}") from e
+            state = apply(state, decode(text))
+        return state
+
+    def commit(self, state: dict, record: dict) -> dict:
+        """Publish ``record``, what changes ``state``, as the next version, and return the state after it; a ConflictError if that version exists."""
+        after = apply(state, record)
+        version = after["version"]
+        if self.base(version) == version:
+            record = {"tag": CHECKPOINT, "state": after}
+        name = self._file(version)
+        if self.fs.exists(name):
+            raise ConflictError(f"version {version} is taken")
         tmp = self._path(f"{self.dir}/.{uuid.uuid4().hex}.tmp")
         out = self.fs.create(tmp, False)
-        out.write(bytearray(json.dumps(state).encode()))
+        out.write(bytearray(encode(record).encode()))
         out.close()
-        lock = self._path(f"{name}.lock")
+        lock = self._path(f"{self.dir}/{version:020d}.json.lock")
         # Age by the file system's own clock: the file written just now is as new as can be.
         if self.fs.exists(lock) and self.fs.getFileStatus(tmp).getModificationTime() - self.fs.getFileStatus(lock).getModificationTime() > self.STALE_MS:
             self.fs.delete(lock, False)
         if not self.fs.createNewFile(lock):
             self.fs.delete(tmp, False)
-            raise ConflictError(f"version {state['version']} is being written")
-        if self.fs.exists(self._path(name)) or not self.fs.rename(tmp, self._path(name)):
+            raise ConflictError(f"version {version} is being written")
+        if self.fs.exists(name) or not self.fs.rename(tmp, name):
             self.fs.delete(tmp, False)
             self.fs.delete(lock, False)
-            raise ConflictError(f"version {state['version']} is taken")
+            raise ConflictError(f"version {version} is taken")
         self.fs.delete(lock, False)
+        return after
 
     def prune(self, keep: set[int]) -> None:
-        for v in self.versions()[:-1]:
-            if v not in keep:
-                self.fs.delete(self._path(f"{self.dir}/{v:020d}.json"), False)
+        """Remove versions that no version to keep, nor the newest, is read from."""
+        known = self.versions()
+        needed = {v for k in {*keep, *known[-1:]} for v in range(self.base(k), k + 1)}
+        for v in known:
+            if v not in needed:
+                self.fs.delete(self._file(v), False)

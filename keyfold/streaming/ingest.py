@@ -12,8 +12,10 @@ def ingest(ops: DataFrame, store: Store, checkpoint: str, order: str, name: str
     """Start writing a stream of (key, value, op) rows, ordered by ``order`` within a batch, into ``store``.
 
     A batch that is replayed after a failure carries its old number and is skipped, so each row is written once. The store
-    flushes by its own limit; due compactions run between batches. Without ``every_ms`` all that is available is taken, then the query ends.
+    flushes by its own limit; due compactions run between batches. ``every_ms`` is the store's sync policy if not given; without either all
+    that is available is taken, then the query ends.
     """
+    every_ms = store.options.sync.every_ms if every_ms is None else every_ms
 
     def batch(df: DataFrame, number: int) -> None:
         store.write(df, order, batch=(name, number))

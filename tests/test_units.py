@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyfold.functions import bloom, cache, layout, records
-from keyfold.operators import compaction, merge, reads
-from keyfold.schema import CorruptionError, Options
+from keyfold.operators import compaction, memtable, merge, reads
+from keyfold.schema import Options
 from keyfold.sources import manifest
 
 
@@ -52,7 +52,7 @@ def test_block_packing(spark):
     index = layout.block_index(packed).collect()
     first = [r for r in index if r.run_id == 1]
     assert len(first) == 15 and max(r.n for r in first) == 34
-    assert sorted((r.block_no, r.n, r.bytes) for r in index if r.run_id == 2) == [(0, 1, 9004), (1, 1, 9004), (2, 1, 14)]
+    assert sorted((r.block_no, r.n, r.bytes, r.offset) for r in index if r.run_id == 2) == [(0, 1, 9004, 0), (1, 1, 9004, 9004), (2, 1, 14, 18008)]
 
 
 def test_bloom(spark):
@@ -66,11 +66,15 @@ def test_bloom(spark):
     assert bloom.may_contain(keys, words, "key", bits, hashes).where("not maybe").count() == 0
     others = spark.range(10_000).select(F.concat(F.lit("x"), "id").alias("key"))
     assert bloom.may_contain(others, words, "key", bits, hashes).where("maybe").count() < 200
-    blob = bloom.serialize(words, bits, hashes)
-    assert bloom.validate(blob) is blob
-    for broken in ({}, blob | {"words": blob["words"][:-1]}, blob | {"num_hashes": 0}):
-        with pytest.raises(CorruptionError):
-            bloom.validate(broken)
+    data = bytes(bloom.serialize(words.withColumn("run", F.lit(1)), "run", bits, hashes).first().data)
+    assert data[:4] == hashes.to_bytes(4, "little") and data[4:12] == bits.to_bytes(8, "little") and len(data) == 12 + 8 * -(-bits // 64)
+    broken = [data, data[:11], data[:-8], data[:-3], data + bytes(8), bytes(4) + data[4:], b""]
+    got = bloom.deserialize(spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(broken)], "i int, data binary"))
+    got = {r.i: r for r in got.collect()}
+    assert [got[i].status for i in range(7)] == ["ok", "short", "word count", "length", "word count", "word count", "short"]
+    assert (got[0].num_hashes, got[0].num_bits) == (hashes, bits) and got[1].words is None
+    built = {r.word_no: r.bits for r in words.collect()}
+    assert got[0].words == [built.get(i, 0) for i in range(-(-bits // 64))]
 
 
 def test_lru_cache():
@@ -124,6 +128,28 @@ def test_pickers(spark):
     assert not compaction.bottommost(runs, task, 7).first().bottommost
 
 
+def test_overlap_pairs_are_all_pairs_once(spark):
+    r = random.Random(7)
+    rows = []
+    for i in range(120):
+        low = r.randrange(1000)
+        rows.append((i, low, low + r.choice([0, 1, 5, 40, 900])))
+    runs = spark.createDataFrame(rows, "run_id long, min_key int, max_key int")
+    want = sorted((a, c) for a, b, d in rows for c, e, f in rows if a < c and b <= f and e <= d)
+    for size in (1, 7, 1000):
+        assert sorted(map(tuple, compaction.overlap_pairs(runs, size).collect())) == want
+    assert compaction.overlap_pairs(runs.limit(0)).count() == 0
+
+
+def test_memtables(spark):
+    log = spark.createDataFrame([("a", 1, 1, "xy"), ("b", 2, 1, "z"), ("a", 3, 2, ""), ("b", 4, 1, "zzz"), ("c", 5, 1, "c")], LOG)
+    assert [r.added for r in memtable.sizes(log).orderBy("seq").collect()] == [3, 2, 0, 3, 2]
+    assert memtable.size(log).first()[0] == 10 and memtable.size(log.limit(0)).first()[0] == 0
+    rows = lambda *cuts: [(r.key, r.seq) for r in memtable.frozen(log, list(cuts)).collect()]
+    assert rows() == rows(3) == [("a", 3), ("b", 4), ("c", 5)]
+    assert rows(2, 4) == [("a", 3), ("b", 4), ("c", 5)] and rows(3, 4) == [("b", 4), ("c", 5)]  # what was frozen before is gone
+
+
 LOG = "key string, seq long, op int, value string"
 
 
@@ -159,3 +185,5 @@ def test_manifest_records(spark):
     assert runs(df) == [(3, 1), (9, 0)] and runs(df.where("ordinal < 3")) == [(1, 0), (2, 0)]
     assert manifest.next_run_id(df).first()[0] == 10 and manifest.log_number(df).first()[0] == 2
     assert manifest.valid_records(df, F.col("ordinal") != 3).count() == 3
+    assert manifest.added_twice(df).count() == 0
+    assert [tuple(r) for r in manifest.added_twice(df.union(df.where("ordinal = 5").withColumn("ordinal", F.lit(6)))).collect()] == [(9, 2)]
