@@ -2,34 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted, settle
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_BROADCAST_ROWS = 100_000
 
-#: (pattern, replacement) in order, on text with A-Z lower-cased; the dialect is the common part of Java, RE2 and Python.
+#: (pattern, replacement) in order, on text with A-Z lower-cased; the dialect is the common part of Java, RE2 and Python, in which
+#: lines end at \\n alone. Copyright lines are those that begin so and have a year or the sign. The third is what a match must hold.
 RULES = [
-    (r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|all rights reserved)[^\n]*$", " "),
-    (r"[^a-z0-9]+", " "),
-    (r"\blicence", "license"),
-    (r"\bsub licens", "sublicens"),
-    (r"\bnon commercial", "noncommercial"),
-    (r"\bhttp\b", "https"),
-    (r"\bmerchantibility\b", "merchantability"),
-    (r"\bcopyright owner\b", "copyright holder"),
-    (r"\bpermission is granted\b", "permission is hereby granted"),
-    (r"\bversion\b", "v"),
-    (r"^ | $", ""),
+    (
+        r"(?:^|\n)[^a-z0-9\n]*(?:copyright[^\n]*(?:\(c\)|©|[0-9]{4})|(?:\(c\)|©)[^\n]*[0-9]{4}|all rights reserved)[^\n]*",
+        " ",
+        ("copyright", "(c)", "©", "all rights reserved"),
+    ),
+    (r"[^a-z0-9]+", " ", ()),
+    (r"\blicence", "license", ("licence",)),
+    (r"\bsub licens", "sublicens", ("sub licens",)),
+    (r"\bnon commercial", "noncommercial", ("non commercial",)),
+    (r"\bhttp\b", "https", ("http",)),
+    (r"\bmerchantibility\b", "merchantability", ("merchantibility",)),
+    (r"\bcopyright owner\b", "copyright holder", ("copyright owner",)),
+    (r"\bpermission is granted\b", "permission is hereby granted", ("permission is granted",)),
+    (r"\bversion\b", "v", ("version",)),
 ]
 
-#: Known whole texts, by SPDX-style id. Notices are texts of one line.
+#: Lines that may stand before a licence's text.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "MIT-0": ["MIT No Attribution"],
+    "ISC": ["ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"],
+    "Zlib": ["zlib License", "The zlib License"],
+    "Unlicense": ["The Unlicense"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+}
+
+#: Known whole texts, by SPDX-style id; headers are the notices that files carry. Notices are texts of one line. Fixed values.
 KNOWN = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "MIT-0": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "GPL-3.0-or-later-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "notice:MIT": "Released under the MIT License.",
     "notice:Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "notice:GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -40,12 +68,30 @@ KNOWN = {
 }
 
 
+def _rule(pattern: str, new: str, needs: tuple[str, ...]):
+    def apply(x: Column) -> Column:
+        changed = F.regexp_replace(x, pattern, new)
+        if not needs:
+            return changed
+        there = F.contains(x, F.lit(needs[0]))  # most texts have none of it, which is told faster
+        for y in needs[1:]:
+            there = there | F.contains(x, F.lit(y))
+        return F.when(there, changed).otherwise(x)
+
+    return apply
+
+
+def canonical_each(texts: Column) -> Column:
+    """An array of texts, each in canonical form. A transform a rule, so that no rule's result is worked out twice."""
+    out = F.transform(texts, lambda x: F.translate(x, UPPER, LOWER))
+    for rule in RULES:
+        out = F.transform(out, _rule(*rule))
+    return F.transform(out, lambda x: F.trim(x))
+
+
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines or punctuation, one spelling for equivalent words, single spaces; null is empty."""
-    out = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
-    for pattern, new in RULES:
-        out = F.regexp_replace(out, pattern, new)
-    return out
+    return F.get(canonical_each(F.array(F.coalesce(text.cast("string"), F.lit("")))), 0)
 
 
 def canonical_text(text: str) -> str:
@@ -53,45 +99,49 @@ def canonical_text(text: str) -> str:
     import re
 
     out = text.translate(str.maketrans(UPPER, LOWER))
-    for pattern, new in RULES:
-        out = re.sub(pattern.replace("$", r"\Z") if not pattern.startswith("(?m)") else pattern, new, out, flags=re.ASCII)
-    return out
-
+    for pattern, new, _ in RULES:
+        out = re.sub(pattern, new, out, flags=re.ASCII)
+    return out.strip(" ")
 
-def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """Rows (digest, licence), one per digest; of ids whose texts come to the same the first in order names it."""
-    import hashlib
 
-    by: dict[str, str] = {}
-    for name in sorted(known or KNOWN):
-        by.setdefault(hashlib.sha256(canonical_text((known or KNOWN)[name]).encode()).hexdigest(), name)
-    return spark.createDataFrame(sorted(by.items()), "digest string, licence string")
+def known_texts(known: dict[str, str] | None = None) -> dict[str, str]:
+    """Canonical text -> id, titled forms too; of ids whose texts come to the same the first in order names it."""
+    table = known or KNOWN
+    out: dict[str, str] = {}
+    for name in sorted(table):
+        for title in ["", *TITLES.get(name, [])]:
+            out.setdefault(canonical_text(f"{title}\n{table[name]}"), name)
+    return out
 
 
 def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", known: dict[str, str] | None = None) -> DataFrame:
     """One row per row of ``docs``: key, canonical_sha256, licence (null if the whole text is no known one), notices.
 
     The whole text is digested and met with the known digests by a hash join, broadcast only while these are fewer than
-    MAX_BROADCAST_ROWS. ``notices`` are the ids, in order and joined by commas, of known one-line texts that a line of the document equals in canonical form.
+    MAX_BROADCAST_ROWS. ``notices`` are the ids, in order and joined by commas, of known one-line texts that a line of the document
+    equals in canonical form; lines are met with the digests by the same join. A line longer in canonical form than any of these cannot be one.
     Null and blank texts have the digest of the empty text and match nothing; keys may repeat or be null; other columns are not
     read; an empty table stays empty.
     """
     spark = docs.sparkSession
-    table = known or KNOWN
-    names = known_digests(spark, table)
-    if len(table) <= MAX_BROADCAST_ROWS:
+    texts = known_texts(known)
+    made = [(hashlib.sha256(t.encode()).hexdigest(), name) for t, name in sorted(texts.items()) if t]
+    names = spark.createDataFrame(made, "digest string, licence string")
+    if len(made) <= MAX_BROADCAST_ROWS:
         names = F.broadcast(names)
-    lines = {canonical_text(v): k for k, v in sorted(table.items(), reverse=True) if k.startswith("notice:") and canonical_text(v)}
-    longest = max([len(x) for x in lines], default=0)
-    whole = canonical(F.col("text"))
-    rows = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("text"))
-    # A line whose letters and digits outnumber those of the longest notice fourfold cannot come to a notice: no rule shortens a word so much.
-    short = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: (F.length(x) > 0) & (F.length(F.regexp_replace(x, "[^A-Za-z0-9]", "")) <= 4 * longest))
-    if lines:
-        known_lines = F.create_map(*[F.lit(y) for kv in sorted(lines.items()) for y in kv])
-        found = F.array_sort(F.array_distinct(F.filter(F.transform(short, lambda x: known_lines[canonical(x)]), lambda x: x.isNotNull())))
-    else:
-        found = F.array().cast("array<string>")
-    made = rows.select(key, F.sha2(whole, 256).alias("canonical_sha256"), F.array_join(found, ",").alias("notices"))
-    joined = made.join(names, made["canonical_sha256"] == names["digest"], "left")
-    return joined.select(key, "canonical_sha256", "licence", "notices")
+    longest = max([len(t) for t, name in texts.items() if name.startswith("notice:")], default=0)
+    body = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
+    lines = F.filter(canonical_each(F.split(body, "\n")), lambda x: (F.length(x) > 0) & (F.length(x) <= longest))
+    digests = F.array_distinct(F.transform(lines, lambda x: F.sha2(x, 256)))
+    rows = settle(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"),
+            F.col(quoted(key)).alias("key"),
+            F.sha2(canonical(body), 256).alias("digest"),
+            (digests if longest else F.array().cast("array<string>")).alias("lines"),
+        )
+    )
+    each = rows.select("row", F.explode("lines").alias("digest")).join(names, "digest").where(F.startswith("licence", F.lit("notice:")))
+    notices = each.groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
+    out = rows.select("row", "key", "digest").join(names, "digest", "left").join(notices, "row", "left")
+    return out.select(F.col("key").alias(key), F.col("digest").alias("canonical_sha256"), "licence", F.coalesce("notices", F.lit("")).alias("notices"))

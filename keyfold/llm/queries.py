@@ -133,13 +133,11 @@ def _op6_sql() -> str:
 
     def chain(x: str) -> str:
         out = f"translate({x}, '{licences.UPPER}', '{licences.LOWER}')"
-        for pattern, new in licences.RULES:
+        for pattern, new, _ in licences.RULES:
             out = f"regexp_replace({out}, {lit(pattern)}, {lit(new)}, 'g')"
         return out
 
-    known = ", ".join(
-        f"({lit(k)}, {lit(licences.canonical_text(v))})" for k, v in sorted(licences.KNOWN.items())
-    )
+    known = ", ".join(f"({lit(name)}, {lit(text)})" for text, name in licences.known_texts().items() if text)
     return f"""
 with known(licence, body) as (values {known}),
  whole as (select doc_id, {chain("coalesce(text, '')")} as c from documents),
@@ -156,7 +154,7 @@ def oracle_sql() -> dict[str, str]:
         out = "case "
         for verdict, host, path in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2])):
             out += f"when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}') then '{(host + path, verdict)[column]}' "
-        return out
+        return f"trim({out}, ' ')"
 
     return {
         "op3_line_dedup": _op3_sql(),
