@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -10,18 +12,19 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, claim, settle, slices
+from .common import as_bytes, claim, numbered, quoted, settle
 
 #: Words in a generation of the cache; a worker keeps two generations.
 CACHE_WORDS = 600_000
-_MARK = "\x01"
+#: A word of lower-case letters of Latin-1 and what may close it: two pieces for the tokenizer's splitter, which nothing before or after changes.
+PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?)\"]*)")
 
 
 class TokenCache(dict):
     """Word (bytes) -> its ids as little-endian uint32 bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in turn. Unseen words
-    are encoded together, with a mark between them that no other word contains.
+    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in turn. A plain word is one piece
+    for its splitter and its bytes the symbols of its merges, so the model alone is asked, and once for all that may close the word.
     """
 
     def __init__(self, tokenizer: str):
@@ -30,48 +33,39 @@ class TokenCache(dict):
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
-        self.mark = self.ids(_MARK)[0]
+        self.whole = Tokenizer.from_file(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
+        self.model = self.whole.model
+        keep = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level vocabularies
+        self.symbols = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(keep))}
         self.old: dict[bytes, bytes] = {}
 
-    def ids(self, text: str) -> list[int]:
-        return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def learn(self, words: set[bytes]) -> None:
-        plain = []
-        for w in words:
-            if _MARK.encode() in w:
-                self[w] = np.array(self.ids(w.decode()), dtype="<u4").tobytes()
-            else:
-                plain.append(w)
-        for i in range(0, len(plain), 500):
-            part = plain[i : i + 500]
-            ids = np.array(self.ids(f" {_MARK} ".join(w.decode() for w in part)), dtype="<u4")
-            cut = np.flatnonzero(ids == self.mark)
-            for w, a, b in zip(part, np.r_[0, cut + 1].tolist(), np.r_[cut, len(ids)].tolist(), strict=True):
-                self[w] = ids[a:b].tobytes()
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text: known words are looked up once, then all unseen words of the texts are learned together."""
-        rows, unseen = [], set()
-        for t in texts:
-            if b"<|" not in t and b"\xcc" not in t and b"\xcd" not in t:
-                t = t.lower()  # as the tokenizer does; without special tokens and combining marks the order of steps is free
-            words = t.split()
-            ids = list(map(self.get, words))
-            rows.append((words, ids))
-            if None in ids:
-                unseen.update([w for w, x in zip(words, ids, strict=True) if x is None])
-        if len(self) + len(unseen) > CACHE_WORDS:
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
-        for w in [w for w in unseen if w in self.old]:
-            self[w] = self.old[w]
-        self.learn({w for w in unseen if w not in self})
-        for words, ids in rows:
-            if None in ids:
-                ids = [self[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-            yield b"".join(ids)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.ids(word)
+        self[word] = ids
+        return ids
+
+    def ids(self, word: bytes) -> bytes:
+        text = word.decode()
+        plain = PLAIN.fullmatch(text.lower())
+        if not plain:
+            got = self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        elif plain[2]:
+            return self[plain[1].encode()] + self[plain[2].encode()]
+        else:
+            piece = plain[1] if plain[1].isascii() else plain[1].encode().decode("latin-1").translate(self.symbols)
+            got = [x.id for x in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(got)}I", *got)
+
+    def encode(self, text: bytes) -> bytes:
+        """The ids of a text."""
+        if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()  # as the tokenizer does; without special tokens and combining marks the order of steps is free
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def token_cache(tokenizer: str) -> TokenCache:
@@ -111,11 +105,13 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
 
 
 def patterns(n_bins: int) -> list[tuple[int, ...]]:
-    """All multisets of one to three bins (1..n_bins) that fill a sequence exactly."""
-    out: list[tuple[int, ...]] = [(n_bins,)]
-    out += [(a, n_bins - a) for a in range((n_bins + 1) // 2, n_bins)]
-    out += [(a, b, n_bins - a - b) for a in range(1, n_bins) for b in range(1, a + 1) if 1 <= n_bins - a - b <= b]
-    return out
+    """All multisets of one to three bins (1..n_bins), larger ones first, that may fill a sequence.
+
+    A piece is up to one bin shorter than its bin says, so two bins may add up to one more than a sequence has, three to two more.
+    """
+    pairs = [(a, n - a) for n in (n_bins, n_bins + 1) for a in range((n + 1) // 2, n_bins)]
+    threes = [(a, b, n - a - b) for n in range(n_bins, n_bins + 3) for a in range(1, n_bins) for b in range(1, a + 1) if 1 <= n - a - b <= b]
+    return [(n_bins,), *pairs, *threes]
 
 
 class _Builder:
@@ -153,15 +149,17 @@ class _Builder:
             full += 1
         self.add(room, seq + full, count - full)
 
-    def commit(self, pattern: list[int], width: int, count: int) -> None:
-        """Open up to ``count`` sequences with the larger members of a pattern, any lengths of their bins; best fit adds the last."""
-        intervals = [(self.n_seq, count, self.room)]
-        placed: list[tuple[int, int, int]] = []
+    def commit(self, pattern: tuple[int, ...], width: int, count: int) -> None:
+        """Open up to ``count`` sequences with a pattern's members, larger ones first, each the longest piece of its bin that is left.
+
+        The last member may be longer than its bin says, as far as the room that the others' bins left unused goes.
+        """
+        todo = [(self.n_seq, count, self.room)]
         for step, b in enumerate(pattern):
-            todo, placed = intervals, []
-            lengths = [x for x in range(b * width, (b - 1) * width, -1) if x <= self.room]
+            placed: list[tuple[int, int, int]] = []
             for seq, c, room in todo:
-                for x in lengths:
+                top = room if step and step == len(pattern) - 1 else min(b * width, room)
+                for x in range(top, min((b - 1) * width, top), -1):
                     take = int(min(c, self.left[x]))
                     if take:
                         self.place(x, seq, take, room)
@@ -170,11 +168,11 @@ class _Builder:
                     if not c:
                         break
                 if c and step:
-                    self.add(room, seq, c)
-            intervals = placed
+                    self.add(room, seq, c)  # no piece is left for this member: best fit finds others
+            todo = placed
             if step == 0:
                 self.n_seq += sum(c for _, c, _ in placed)
-        for seq, c, room in intervals:
+        for seq, c, room in todo:
             self.add(room, seq, c)
 
     def best_fit(self) -> None:
@@ -195,10 +193,9 @@ class _Builder:
 def plan_packing(hist: np.ndarray, room: int, n_bins: int = 64) -> tuple[np.ndarray, int]:
     """Placements for ``hist[length]`` pieces: rows (length, first rank, first sequence, offset) sorted by the first two, and the number of sequences.
 
-    Repeat counts of the patterns are fitted to the histogram over ``n_bins`` equal bins and rounded down; their larger members
-    are placed first and residuals by best fit, longest first. As counts that no pattern can meet make fewer repeats
-    better, the share of the fitted counts that gives the fewest sequences is taken, none being the share 0. The work
-    depends on ``room`` alone, not on how many pieces there are.
+    Repeat counts of the patterns are fitted to the histogram over ``n_bins`` equal bins and rounded; patterns are placed whole, the
+    most frequent first, and what is left goes by best fit, longest first, into the room that patterns leave and then into new
+    sequences. The work depends on ``room`` alone, not on how many pieces there are.
     """
     width = -(-room // n_bins)
     binned = np.zeros(n_bins + 1)
@@ -209,23 +206,18 @@ def plan_packing(hist: np.ndarray, room: int, n_bins: int = 64) -> tuple[np.ndar
         for b in p:
             a[b - 1, j] += 1
     total = binned.sum()
-    fitted = nnls(a, binned[1:] / max(total, 1)) * total
-    best: _Builder | None = None
-    for share in (1.0, 0.75, 0.5, 0.25, 0.0):
-        build = _Builder(hist.astype(np.int64), room)
-        for j in np.argsort(-fitted, kind="stable") if share else ():
-            count = int(fitted[j] * share)
-            if count and len(shapes[j]) > 1:
-                build.commit(list(shapes[j][:-1]), width, count)
-        build.best_fit()
-        if best is None or build.n_seq < best.n_seq:
-            best = build
-    rows = np.array(sorted(best.rows), dtype=np.int64).reshape(-1, 4)
-    return rows, best.n_seq
+    fitted = np.rint(nnls(a, binned[1:] / max(total, 1)) * total).astype(np.int64)
+    build = _Builder(hist.astype(np.int64), room)
+    for j in np.argsort(-fitted, kind="stable"):
+        if fitted[j]:
+            build.commit(shapes[j], width, int(fitted[j]))
+    build.best_fit()
+    rows = np.array(sorted(build.rows), dtype=np.int64).reshape(-1, 4)
+    return rows, build.n_seq
 
 
 def _pieces(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, room: int) -> DataFrame:
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(key)).cast("long").alias("id"), F.col(quoted(text)).cast("string").alias("text"))
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -236,10 +228,8 @@ def _pieces(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, r
         tail = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
-            texts = as_bytes(b.column(1))
-            coded = (x for lo, hi in slices(texts, 2 << 20) for x in cache.encode(texts[lo:hi]))
-            for i, ids in zip(b.column(0).to_pylist(), coded, strict=True):
-                ids += tail
+            for i, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+                ids = cache.encode(text) + tail
                 n = len(ids) // 4
                 for k, start in enumerate(range(0, n, room)):
                     size = min(room, n - start)
@@ -288,9 +278,10 @@ def pack(
             length, rank = b.column(3).to_numpy(zero_copy_only=False), b.column(5).to_numpy(zero_copy_only=False)
             row = plan[np.searchsorted(index, length * shift + rank, side="right") - 1]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:5], pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])], names=[*b.schema.names[:5], "sequence_id", "offset"]
+                [*b.columns[:5], pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])],
+                names=[key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(
-        seat, f"`{key}` long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return numbered(ranked).mapInArrow(
+        seat, f"{quoted(key)} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
