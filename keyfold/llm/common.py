@@ -1,15 +1,19 @@
 """Helpers shared by the operators: checkpoints, sizing, components, and whole-batch text arithmetic in numpy.
 
 Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]`` of the UTF-8 text, which is what the regular
-expression ``[^\\x20\\x09-\\x0D]+`` finds. 64-bit hashes are computed alike in every process.
+expression ``[^\\x20\\x09-\\x0D]+`` finds. 64-bit hashes are computed alike in every process; they propose what is equal, and
+the words themselves decide.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,18 +27,19 @@ SLICE_BYTES = 1 << 20
 NO_ID = (1 << 63) - 1
 
 _U = np.uint64
-BASE = _U(0x9E3779B97F4A7C15 | 1)
-BASE_INV = _U(pow(int(BASE), -1, 1 << 64))
 
 
 # ---------------------------------------------------------------- Spark side
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; where the session names none, a temporary one if all runs on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyfold-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="keyfold-"))
     return sc.getCheckpointDir()
 
 
@@ -96,7 +101,7 @@ def partitions(df: DataFrame, target_bytes: int) -> int:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: one row (node, comp) per node, comp the smallest node reached.
 
-    Alternating large-star and small-star rounds over edge rows, each checkpointed; nothing but two sums per round
+    Alternating large-star and small-star rounds over edge rows, each checkpointed, until only stars are left; nothing but that
     reaches the driver, and a hub's rows are dealt by a join that adaptive execution can split.
     """
     edges = settle(edges.select("a", "b").where("a <> b").distinct())
@@ -107,8 +112,7 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             near = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        if not small:  # settled, it makes the join below one of two shuffles, which can split a hub's rows
-            least = settle(least)
+        least = settle(least)  # settled, it makes the join below one of two shuffles, which can split a hub's rows
         linked = near.join(least, "u")
         if small:
             out = linked.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
@@ -118,21 +122,18 @@ def components(edges: DataFrame) -> DataFrame:
             out = linked.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return out.where("a <> b").distinct()
 
-    def stamp(e: DataFrame) -> tuple:
-        row = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
-        return tuple(row)
+    def settled(e: DataFrame) -> bool:
+        """Whether every edge leads from a node of no other edge to its root."""
+        one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+        ends = e.select(F.col("a").alias("n"), one.alias("out"), zero.alias("in")).union(e.select("b", zero, one))
+        each = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+        return not each.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).limit(1).count()
 
-    seen = None
-    while True:
+    while not settled(edges):
         edges = settle(star(edges, small=False))
         edges = settle(star(edges, small=True))
-        now = stamp(edges)
-        if now == seen:
-            break
-        seen = now
-    labelled = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("comp", F.col("node"))
-    return labelled.union(roots).groupBy("node").agg(F.min("comp").alias("comp"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(roots)
 
 
 # ---------------------------------------------------------------- numpy side
@@ -165,56 +166,109 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n, kept between calls up to a few slices' length."""
-    state = process_state()
-    if len(state.get("up", ())) < n:
-        size = -(-n // (1 << 18)) << 18
-        for name, base in (("up", BASE), ("down", BASE_INV)):
-            a = np.full(size, base, dtype=_U)
-            a[0] = 1
-            state[name] = np.multiply.accumulate(a)
-    return state["up"][:n], state["down"][:n]
+def digests(parts: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each byte string."""
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, parts), dtype=_U, count=len(parts))
+
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of what ``a`` stands for followed by what ``b`` stands for."""
+    return mix(a * _U(0x9E3779B97F4A7C15) + mix(b + _U(0xD6E8FEB86659FD93)))
 
-def ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash of values[start:end] for each pair, equal for equal content wherever it stands."""
-    up, down = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=_U)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+
+def _doubled(units: np.ndarray, width: int, pair) -> np.ndarray:
+    """A value for every run of ``width`` units, put together by ``pair`` from runs whose lengths are powers of two."""
+    part, size, out, have = units, 1, None, 0
+    while size <= width:
+        if width & size:
+            n = len(units) - have - size + 1
+            if n <= 0:
+                return units[:0]
+            out, have = (part, size) if out is None else (pair(out[:n], part[have : have + n]), have + size)
+        if 2 * size <= width:
+            if len(part) <= size:
+                return units[:0]
+            part = pair(part[:-size], part[size:])
+        size *= 2
+    return out
 
 
 def window_hash(units: np.ndarray, width: int) -> np.ndarray:
-    """The hash of every run of ``width`` units."""
-    starts = np.arange(max(0, len(units) - width + 1))
-    return ranges_hash(units, starts, starts + width)
+    """The hash of every run of ``width`` units, equal for equal runs wherever they stand."""
+    return _doubled(units, width, joined)
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U) * BASE)
-_IS_WS = np.zeros(256, dtype=bool)
-_IS_WS[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+def window_ids(ids: np.ndarray, width: int) -> np.ndarray:
+    """A number for every run of ``width`` numbered units: the same number if and only if the runs are the same."""
 
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a * (np.int64(b.max()) + 1) + b, return_inverse=True)[1] if len(a) else a
 
-class Words:
-    """The words of several texts: ``starts``/``ends`` into ``buf``, 64-bit ``hashes``, and ``bounds``, the first word of each text."""
+    return _doubled(np.unique(ids, return_inverse=True)[1] if len(ids) else ids, width, pair)
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
-        buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-        self.buf = _LOWER[buf] if lower else buf
-        blank = _IS_WS[buf]
-        edge = np.flatnonzero(np.diff(blank.view(np.int8), prepend=np.int8(1)))
-        self.starts, self.ends = edge[0::2], edge[1::2]
-        self.hashes = ranges_hash(_BYTE[self.buf], self.starts, self.ends)
-        sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-        at = np.concatenate(([0], np.cumsum(sizes)))
-        self.bounds = np.searchsorted(self.starts, at)
-        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
+
+def same_windows(ids: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Whether the runs of ``width`` units from ``a`` and from ``b`` on are the same, unit by unit."""
+    same = np.ones(len(a), dtype=bool)
+    for t in range(width):
+        same &= ids[a + t] == ids[b + t]
+    return same
+
+
+def repeated(whash: np.ndarray, at: np.ndarray, ids: np.ndarray, width: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows that start ``at``: those that stand twice or more in their group, and those that are not the first such.
+
+    Equal hashes only propose; the windows' units and their groups' numbers decide.
+    """
+    h = joined(whash, group.astype(_U))
+    ordered = np.sort(h)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return at[:0], at[:0]
+    hit = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h)
+    by = hit[np.argsort(h[hit], kind="stable")]
+    same = h[by[1:]] == h[by[:-1]]
+    one, other = by[1:][same], by[:-1][same]
+    if not (same_windows(ids, at[one], at[other], width) & (group[one] == group[other])).all():
+        # Unlike windows with one hash: the windows' own numbers and the groups' take the hashes' place.
+        key = np.unique(window_ids(ids, width)[at] * (np.int64(group.max()) + 1) + group, return_inverse=True)[1]
+        by = np.argsort(key, kind="stable")
+        same = key[by[1:]] == key[by[:-1]]
+        return at[np.unique(np.concatenate((by[1:][same], by[:-1][same])))], at[np.sort(by[1:][same])]
+    return at[np.sort(hit)], at[np.sort(one)]
+
+
+class Units:
+    """Units (words or lines) of several texts, told apart by their bytes and not by a hash.
+
+    ``ids`` numbers the units, equal ones alike; ``distinct`` has each number's unit; ``bounds`` is the first unit of each text,
+    ``doc`` the text of each unit, and ``rows`` the units text by text. ``hashes`` are 64-bit values that mean the same in every process;
+    who compares these confirms by ``ids``.
+    """
+
+    def __init__(self, rows: list[list[bytes]]):
+        number: defaultdict = defaultdict(count().__next__)
+        self.rows = rows
+        self.bounds = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int64)
+        self.ids = np.fromiter(map(number.__getitem__, chain.from_iterable(rows)), np.int64, count=int(self.bounds[-1]))
+        self.distinct = list(number)
+        self.doc = np.repeat(np.arange(len(rows)), np.diff(self.bounds))
+
+    @property
+    def hashes(self) -> np.ndarray:
+        return digests(self.distinct)[self.ids]
 
     def __len__(self) -> int:
-        return len(self.starts)
+        return len(self.ids)
+
+
+class Words(Units):
+    """The words of several texts, A-Z lower-cased if ``lower``."""
+
+    def __init__(self, texts: list[bytes], lower: bool = False):
+        super().__init__([(t.lower() if lower else t).split() for t in texts])
 
 
 def as_bytes(column) -> list[bytes]:

@@ -9,10 +9,29 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Table, Words, as_bytes, claim, components, mix, partitions, process_state, ranges_hash, settle, slices, unused
-
-#: Documents and shingles that one task compares at a time; larger candidate groups are dealt out in blocks.
-BLOCK_DOCS, BLOCK_SHINGLES, HUBS = 2048, 1 << 20, 32
+from .common import (
+    Table,
+    Words,
+    as_bytes,
+    claim,
+    components,
+    joined,
+    mix,
+    partitions,
+    process_state,
+    quoted,
+    repeated,
+    settle,
+    slices,
+    unused,
+    window_hash,
+    window_ids,
+)
+
+#: Documents and shingles that are compared with each other at a time; larger candidate groups are dealt out.
+BLOCK_DOCS, BLOCK_SHINGLES, HUBS = 256, 1 << 18, 32
+#: Ids are below this. A row without one is known by a number from here on that its text gives, so it comes after all rows with ids.
+NO_IDS = 1 << 62
 UNIVERSE = 1 << 20
 
 
@@ -57,25 +76,51 @@ def band_keys(sig: np.ndarray, plan: Bands) -> np.ndarray:
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its ``width``-word shingles; fewer words make one shingle, none an empty set."""
+    """For each text its set of ``width``-word shingles as sorted numbers, alike in all these texts for equal shingles and for no others.
+
+    Fewer words make one shingle, none an empty set.
+    """
     w = Words(texts, lower=True)
+    wide = window_ids(w.ids, width)
+    short: dict[tuple, int] = {}
     out = []
-    n = np.diff(w.bounds)
-    starts = np.arange(max(0, len(w) - width + 1))
-    wide = ranges_hash(w.hashes, starts, starts + width)
-    short = np.flatnonzero((n > 0) & (n < width))
-    whole = dict(zip(short.tolist(), ranges_hash(w.hashes, w.bounds[:-1][short], w.bounds[1:][short]), strict=True))
-    for i in range(len(texts)):
-        if n[i] >= width:
-            out.append(np.unique(wide[w.bounds[i] : w.bounds[i + 1] - width + 1]))
+    for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
+        if b - a >= width:
+            out.append(np.unique(wide[a : b - width + 1]))
         else:
-            out.append(np.array([whole[i]] if n[i] else [], dtype=np.uint64))
+            out.append(np.array([-1 - short.setdefault(tuple(w.ids[a:b].tolist()), len(short))] if b > a else [], dtype=np.int64))
     return out
 
 
+def _sketches(texts: list[bytes], width: int, plan: Bands) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """For each text the size of its shingle set, a digest of its words, and its signature."""
+    w = Words(texts, lower=True)
+    words = w.hashes
+    wide = window_hash(words, width)
+    at = np.flatnonzero(w.doc[: len(wide)] == w.doc[width - 1 :]) if len(wide) else np.empty(0, np.int64)
+    _, again = repeated(wide[at], at, w.ids, width, w.doc[at])
+    n = np.bincount(w.doc[at], minlength=len(texts)) - np.bincount(w.doc[again], minlength=len(texts))
+    sig = np.zeros((len(texts), plan.bands * plan.rows), dtype=np.int32)
+    for i, (a, b) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)):
+        if b - a >= width:
+            sig[i] = signature(wide[a : b - width + 1], plan)
+        elif b > a:
+            n[i], h = 1, words[a : a + 1]
+            for t in range(a + 1, b):
+                h = joined(h, words[t : t + 1])
+            sig[i] = signature(h, plan)
+    return n, [hashlib.blake2b(b" ".join(x), digest_size=32).digest() for x in w.rows], sig
+
+
+def _identified(docs: DataFrame, key: str, text: str):
+    """The number a row is known by: its id, or where it has none one made of its text, alike for equal texts."""
+    surrogate = F.lit(NO_IDS) + F.xxhash64(F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))).bitwiseAND(F.lit(NO_IDS - 1))
+    return F.coalesce(F.col(quoted(key)).cast("long"), surrogate)
+
+
 def signatures(docs: DataFrame, key: str, text: str, width: int, plan: Bands) -> DataFrame:
-    """Rows (id, n, digest, bands): set size, a digest that only identical sets share, and the band keys."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("string").alias("text"))
+    """Rows (id, n, digest, bands): set size, a digest of the words in order, and the band keys."""
+    rows = docs.select(_identified(docs, key, text).alias("id"), F.col(quoted(text)).cast("string").alias("text"))
 
     def run(batches):
         import pyarrow as pa
@@ -84,20 +129,11 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, plan: Bands) ->
         for b in batches:
             texts = as_bytes(b.column(1))
             for lo, hi in slices(texts):
-                sets = shingle_sets(texts[lo:hi], width)
-                sig = np.zeros((len(sets), plan.bands * plan.rows), dtype=np.int32)
-                for i, s in enumerate(sets):
-                    if len(s):
-                        sig[i] = signature(s, plan)
+                n, digest, sig = _sketches(texts[lo:hi], width, plan)
                 keys = band_keys(sig, plan)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * plan.bands), pa.array(keys.ravel()))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * plan.bands), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).slice(lo, hi - lo),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                        flat,
-                    ],
+                    [b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), flat],
                     names=["id", "n", "digest", "bands"],
                 )
 
@@ -156,28 +192,79 @@ def link(sets: list[np.ndarray], labels: list[int], num: int, den: int) -> list[
     return out
 
 
-def _verify(groups: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Rows (bin, part, id, label, text) -> edges (a, b) found inside each (bin, part, cand), all of whose rows one task holds.
+def _verify(rows: DataFrame, n_parts: int, width: int, num: int, den: int) -> DataFrame:
+    """Rows (group, part, label, text) -> edges (a, b) found within each (group, part): labels, and the smallest label each reaches.
 
-    b is the smallest label reached; ``partial`` tells edges of a block from those of a whole candidate component, which are its components.
+    Groups are read one after the other, so a task holds one, of a bounded number of documents, at a time.
     """
 
-    def run(pdf):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
         claim("minhash")
-        a, b = [], []
-        for _, g in pdf.groupby("cand", sort=False):
-            texts = [t.encode() if t else b"" for t in g["text"]]
-            sets, labels, ids = shingle_sets(texts, width), g["label"].tolist(), g["id"].tolist()
-            full = [i for i, s in enumerate(sets) if len(s)]
-            got = link([sets[i] for i in full], [labels[i] for i in full], num, den)
-            a += [ids[i] for i in full]
-            b += got
-        partial = len(pdf) > 0 and int(pdf["bin"].iloc[0]) < 0
-        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64), "partial": np.full(len(a), partial)})
 
-    return groups.groupBy("bin", "part").applyInPandas(run, "a long, b long, partial boolean").where("a <> b").distinct()
+        def edges(group):
+            labels, texts = zip(*group, strict=True)
+            sets = shingle_sets(list(texts), width)
+            full = [i for i, x in enumerate(sets) if len(x)]
+            labels = [labels[i] for i in full]
+            return {(x, y) for x, y in zip(labels, link([sets[i] for i in full], labels, num, den), strict=True) if x != y}
+
+        def batch(found):
+            a, b = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        now, group, found = None, [], []
+        for b in batches:
+            keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            rows = zip(b.column(2).to_pylist(), as_bytes(b.column(3)), strict=True)
+            for key, row in zip(keys, rows, strict=True):
+                if key != now:
+                    if len(group) > 1:
+                        found += edges(group)
+                    now, group = key, []
+                    if len(found) > 10_000:
+                        yield batch(found)
+                        found = []
+                group.append(row)
+        if len(group) > 1:
+            found += edges(group)
+        if found:
+            yield batch(found)
+
+    by = rows.select("group", "part", "label", "text").repartition(n_parts, "group", "part").sortWithinPartitions("group", "part")
+    return by.mapInArrow(run, "a long, b long").distinct()
+
+
+def _shared(members: DataFrame) -> DataFrame:
+    """Rows (group, id, label) -> (group, m): the groups with more than one label, and their size. Settled, so that joins can split a hot one."""
+    sizes = members.groupBy("group").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return settle(sizes.where("lo < hi").select("group", "m"))
+
+
+def _meetings(banded: DataFrame, labels: DataFrame) -> DataFrame:
+    """Where documents not yet linked have still to be compared: rows (group, part, id, label).
+
+    ``banded`` has (id, bands), ``labels`` (id, label). A group is a band's bucket with more than one label, so a document is in as many
+    as it has bands at most, however many are like it. Buckets beyond BLOCK_DOCS are split by the second of each two such bands
+    that a document has. What is left beyond it, documents alike in two bands at least, is compared block against block.
+    """
+    members = settle(banded.join(labels, "id").select(F.explode("bands").alias("group"), "id", "label"))
+    sizes = _shared(members)
+    zero = F.lit(0).cast("long")
+    small = members.join(sizes.where(F.col("m") <= BLOCK_DOCS), "group").select("group", zero.alias("part"), "id", "label")
+    crowded = sizes.where(F.col("m") > BLOCK_DOCS)
+    if not crowded.limit(1).count():
+        return small
+    bands = members.join(crowded, "group").groupBy("id", "label").agg(F.sort_array(F.collect_set("group")).alias("g"))
+    two = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", F.lit(1), i), lambda y: F.xxhash64(y, x))))
+    members = settle(bands.select(F.explode(two).alias("group"), "id", "label"))
+    sizes = _shared(members)
+    blocks = F.ceil(F.col("m") / BLOCK_DOCS).cast("long")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    pairs = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda x: F.least(own, x) * F.col("blocks") + F.greatest(own, x))
+    split = members.join(sizes.withColumn("blocks", blocks), "group").select("group", F.explode(pairs).alias("part"), "id", "label")
+    return small.union(split)
 
 
 def near_components(
@@ -185,108 +272,92 @@ def near_components(
 ) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id, kept; a link needs den * intersection >= num * union.
 
-    1. Identical sets form classes; each class is its smallest id. 2. Classes that share a band are joined through the
-    bucket's smallest class, and the candidate components of those edges are found by distributed star rounds. 3. Texts
-    of candidate components are dealt to tasks, each text once, and ``link`` compares whole sets there. A component
-    beyond BLOCK_DOCS or BLOCK_SHINGLES is dealt in blocks: first every block together with the same few hub texts, which joins
-    almost everything, then every text still outside the largest part against all blocks, so no link is lost and no
-    task holds more than a few blocks. 4. What a task found is a whole component, or, of blocks, edges whose components are found as in 2.
-
-    Rows that share an id are one document. Null, empty and blank texts have an empty set and are linked with nothing.
-    Rows without id are in no component (component_id null) unless their set equals that of a row with one, and are kept
-    only in the former case. An empty table gives an empty table; other columns are not read.
+    1. Texts of the same words in the same order form classes; each class is its smallest id. 2. Classes that share a band are
+    joined through the bucket's smallest class, and the candidate components of those edges are found by distributed star rounds.
+    3. Texts of candidate components are dealt to tasks, and ``link`` compares whole sets there, shingle by shingle. A component
+    beyond BLOCK_DOCS or BLOCK_SHINGLES is dealt in blocks, each with the same few hub texts, which joins almost everything. What that
+    leaves outside the largest part is compared with every block, or where two documents share a band (``_meetings``) if that sends
+    fewer texts, so texts sent grow with the documents. No task holds more than one group of bounded size.
+    4. What a task found is a whole component, or, of blocks and bands, edges whose components are found as in 2.
+
+    Rows that share an id should share the text; else each is judged by its own, and the document stays if one does. Null, empty and blank texts have an empty set and are linked with nothing. Rows without id
+    are documents that come after all others, those of equal texts one document; where no row of a component has an id, its component_id is
+    null, and kept tells one document of it. An empty table gives an empty table; other columns are not read.
     """
-    plan = plan or Bands()
-    spark = docs.sparkSession
+    found = _components(docs, key, text, num, den, width, plan or Bands())
+    real = F.when(F.col("component") < NO_IDS, F.col("component"))
+    own = F.when(F.col("id") < NO_IDS, F.col("id"))
+    return found.select(
+        own.alias(key), F.col("n").alias("n_shingles"), real.alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
+    )
+
+
+def _components(docs: DataFrame, key: str, text: str, num: int, den: int, width: int, plan: Bands) -> DataFrame:
+    """Rows (id, n, component), one per row of ``docs``; ids as ``_identified`` gives them."""
     sigs = settle(signatures(docs, key, text, width, plan))
-    same = sigs.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
+    same = sigs.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
     # Classes of one need no row; those of more are settled, so that joins with them can split a class that is hot.
-    classes = settle(same.where("m > 1").select("digest", "n", "rep"))
-    named = sigs.join(classes, ["digest", "n"], "left").withColumn("rep", F.coalesce("rep", "id"))
-    reps = named.where((F.col("n") > 0) & (F.col("id") == F.col("rep")) & (F.col("rep") < NO_ID))
-    keyed = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last")
-    pairs = keyed.join(buckets, "band").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    cand = components(pairs)
-    sized = settle(
-        cand.join(reps.select(F.col("rep").alias("node"), "n").distinct(), "node").select(F.col("node").alias("id"), F.col("comp").alias("cand"), "n")
-    )
-    blocks = F.greatest(
-        F.lit(1), F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES))
-    ).cast("long")
-    totals = sized.groupBy("cand").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).withColumn("blocks", blocks)
-    bins = max(1, partitions(docs, 4 << 20))
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("string").alias("text"))
+    classes = settle(same.where("m > 1").select("digest", "rep"))
+    named = settle(sigs.join(classes, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "bands"))
+    reps = named.where((F.col("n") > 0) & (F.col("id") == F.col("rep")))
+    keyed = reps.select("id", F.explode("bands").alias("band"))
+    buckets = settle(keyed.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("band", "hub"))
+    cand = components(keyed.join(buckets, "band").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    sizes = reps.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n"))
+    sized = settle(cand.join(sizes, "node").select(F.col("node").alias("id"), F.col("comp").alias("cand"), "n"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES))).cast("long")
+    totals = settle(sized.groupBy("cand").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).withColumn("blocks", blocks))
+    n_parts = partitions(docs, 4 << 20)
+    texts = docs.select(_identified(docs, key, text).alias("id"), F.col(quoted(text)).cast("string").alias("text"))
     table = Table(texts.join(sized.join(totals, "cand").select("id", "cand", "blocks", "docs"), "id"))
     rows = table.read()
-    small = F.col("blocks") == 1
-    spread = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    hub = ~small & (F.pmod(F.xxhash64("id", F.lit(1)), F.col("docs")) < HUBS)
-    first = rows.select(
-        "id",
-        "text",
-        "cand",
-        F.col("id").alias("label"),
-        F.when(small, F.pmod(F.xxhash64("cand"), F.lit(bins))).otherwise(-1 - F.abs(F.pmod(F.xxhash64("cand"), F.lit(1 << 40)))).alias("bin"),
-        F.explode(
-            F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.when(small, F.lit(0).cast("long")).otherwise(spread)))
-        ).alias("part"),
-    )
-    verified = settle(_verify(first, width, num, den))
-    # Whole candidate components are settled; only blocks of large ones need be brought together.
-    final = verified.where("not partial").select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    edges = verified.where("partial").select("a", "b")
-    large = settle(totals.where(~small))
-    if large.limit(1).count():
+    zero = F.lit(0).cast("long")
+    one = rows.where("blocks = 1").select(F.col("cand").alias("group"), zero.alias("part"), F.col("id").alias("label"), "text")
+    final = settle(_verify(one, n_parts, width, num, den)).select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    large = sized.join(totals.where("blocks > 1").select("cand", "blocks", "docs"), "cand")
+    if totals.where("blocks > 1").limit(1).count():
+        # Whole candidate components are settled; only blocks of large ones need be brought together.
+        every = F.sequence(zero, F.col("blocks") - 1)
+        hub = F.pmod(F.xxhash64("id", F.lit(1)), F.col("docs")) < HUBS
+        part = F.when(hub, every).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks"))))
+        texts = rows.where("blocks > 1")
+        blocks = texts.select(F.col("cand").alias("group"), F.explode(part).alias("part"), F.col("id").alias("label"), "text")
+        edges = settle(_verify(blocks, n_parts, width, num, den))
         so_far = settle(components(edges))
-        part = (
-            sized.join(large.select("cand", "blocks"), "cand")
-            .join(so_far.withColumnRenamed("node", "id"), "id", "left")
-            .select("id", "cand", "blocks", F.coalesce("comp", "id").alias("label"))
-        )
-        by_label = settle(part.groupBy("cand", "label").agg(F.count("*").alias("m")))
+        labelled = settle(large.join(so_far.withColumnRenamed("node", "id"), "id", "left").select("id", "cand", F.coalesce("comp", "id").alias("label")))
+        by_label = labelled.groupBy("cand", "label").agg(F.count("*").alias("m"))
         main = by_label.groupBy("cand").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"))
-        open_ = settle(
-            main.where(F.col("top.m") < F.col("all")).select(
-                "cand", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK_DOCS).alias("r_blocks")
-            )
-        )
+        open_ = main.where(F.col("top.m") < F.col("all")).select("cand", F.col("top.label").alias("main"), (F.col("all") - F.col("top.m")).alias("outside"), "all")
+        open_ = open_.join(totals.select("cand", "blocks"), "cand").withColumn("r_blocks", F.ceil(F.col("outside") / BLOCK_DOCS).cast("long"))
+        # What is outside the largest part is compared with every block, unless that sends more texts than the bands they share would.
+        open_ = settle(open_.withColumn("banded", F.col("r_blocks") + F.col("outside") * F.col("blocks") / F.col("all") > plan.bands))
         if open_.limit(1).count():
-            todo = part.join(open_, "cand").withColumn("outside", F.col("label") != F.col("main"))
-            todo = todo.select("id", "label", "outside", "r_blocks").distinct()
-            rest = rows.where(~small).join(todo, "id")
-            zero = F.lit(0).cast("long")
+            todo = labelled.join(open_.where("not banded"), "cand")
             own_a, own_r = F.pmod(F.xxhash64("id"), F.col("blocks")), F.pmod(F.xxhash64("id", F.lit(2)), F.col("r_blocks"))
-            as_all = F.transform(F.sequence(zero, F.col("r_blocks") - 1), lambda r: r * F.col("blocks") + own_a)
-            as_rest = F.when(
-                F.col("outside"), F.transform(F.sequence(zero, F.col("blocks") - 1), lambda a: own_r * F.col("blocks") + a)
-            ).otherwise(F.array().cast("array<long>"))
-            second = rest.select(
-                "id",
-                "text",
-                "cand",
-                "label",
-                (-1 - F.abs(F.pmod(F.xxhash64("cand"), F.lit(1 << 40)))).alias("bin"),
-                F.explode(F.array_distinct(F.concat(as_all, as_rest))).alias("part"),
-            )
-            more = _verify(second, width, num, den).select("a", "b")
-            so_far = settle(components(settle(edges.union(more).union(so_far.select("node", "comp")))))
+            as_any = F.transform(F.sequence(zero, F.col("r_blocks") - 1), lambda r: r * F.col("blocks") + own_a)
+            as_outside = F.when(F.col("label") != F.col("main"), F.transform(every, lambda a: own_r * F.col("blocks") + a)).otherwise(F.array().cast("array<long>"))
+            parts = F.explode(F.array_distinct(F.concat(as_any, as_outside))).alias("part")
+            todo = todo.select(F.col("cand").alias("group"), parts, "id", "label")
+            many = open_.where("banded")
+            if many.limit(1).count():
+                todo = todo.union(_meetings(reps.select("id", "bands"), labelled.join(many, "cand").select("id", "label")))
+            more = settle(_verify(todo.join(texts.select("id", "text"), "id"), n_parts, width, num, den))
+            so_far = settle(components(edges.union(more).union(so_far.select("node", "comp"))))
         final = final.union(so_far)
     table.drop()
-    found = (
-        named.select("id", "n", "rep")
-        .join(final.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("id", "n", F.coalesce("comp", "rep").alias("component"))
-    )
-    real = F.when(F.col("component") < NO_ID, F.col("component"))
-    own = F.when(F.col("id") < NO_ID, F.col("id"))
-    return found.select(
-        own.alias(key), F.col("n").alias("n_shingles"), real.alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
+    return (
+        named.select("id", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("comp", "rep").alias("component"))
     )
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose document stays, one document of each component, with all their columns."""
-    name = unused("__kept", docs)
-    kept = near_components(docs, key, text, num, den).where("kept").select(F.col(key).alias(name)).distinct()
-    return docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col(name)), "left_semi")
+    """The rows of ``docs`` whose document stays, one document of each component, with all their columns.
+
+    What ``near_components`` says of ids, nulls and empty texts holds; of rows with the same id and text, or without id and with
+    the same text, one stays.
+    """
+    own, same, name = unused("__id", docs), unused("__text", docs), unused("__kept", docs)
+    kept = _components(docs, key, text, num, den, 5, Bands()).where("id = component").select(F.col("id").alias(name)).distinct()
+    marked = docs.withColumn(own, _identified(docs, key, text)).withColumn(same, F.xxhash64(F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))))
+    rows = marked.join(kept, F.col(own) == F.col(name), "left_semi").dropDuplicates([own, same])
+    return rows.select(*map(quoted, docs.columns))

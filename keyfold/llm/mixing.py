@@ -208,9 +208,14 @@ def mix_sources(
             code = F.when(c.isNull(), F.lit(place[None]).cast("long")).otherwise(code)
         cell = cell * len(levels[d]) + code
     source = dims[free[0]].cast("string") if free else F.lit("")
-    ids, matched, share = [unused(f"__{x}", docs) for x in "dk"], [unused(f"__c{x}", docs) for x in "dk"], unused("__p", docs)
-    tokens = n_words(F.col(text))
-    cells = docs.select(source.alias("v"), cell.alias("k"), tokens.alias("n")).groupBy("v", "k").agg(F.sum("n").cast("double").alias("n"))
+    ids, matched, share = [unused(f"__{x}", docs) for x in "vk"], [unused(f"__c{x}", docs) for x in "vk"], unused("__p", docs)
+    drawn = F.shiftrightunsigned(F.xxhash64(F.col(quoted(key)).cast("long"), F.col(quoted(text)).cast("string"), F.lit(seed)), 11) / F.lit(float(1 << 53))
+    facts = docs.select(source.alias("v"), cell.alias("k"), n_words(F.col(quoted(text))).alias("n"))
+    if not keep:  # all that the result tells, so texts are read once
+        told = [dims[d].cast("string").alias(f"d{i}") for i, d in enumerate(names)]
+        words = n_words(F.col(quoted(text))).alias("n")
+        facts = settle(docs.select(source.alias("v"), cell.alias("k"), words, drawn.alias("drawn"), F.col(quoted(key)).alias("key"), *told))
+    cells = facts.groupBy("v", "k").agg(F.sum("n").cast("double").alias("n"))
     pair = F.when(F.col("k").isNotNull(), F.struct("k", "n"))
     by = settle(cells.groupBy("v").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(pair)).alias("cells")).where("n > 0 and size(cells) > 0"))
     alpha = float(targets[free[0]]) if free else 1.0
@@ -231,27 +236,11 @@ def mix_sources(
         fitted = rake_sources(by, codes, shares, wanted).select("v", F.explode(F.arrays_zip("k", "m", "w")).alias("x"))
         p = F.when(F.col("x.m") > 0, F.col("x.w") / F.col("x.m")).otherwise(float(budget))
         table = settle(fitted.select(F.col("v").alias(matched[0]), F.col("x.k").alias(matched[1]), p.alias(share)))
-    marked = docs.select("*", source.alias(ids[0]), cell.alias(ids[1]))
-    joined = marked.join(table, F.col(ids[0]).eqNullSafe(F.col(matched[0])) & (F.col(ids[1]) == F.col(matched[1])), "left")
-    drawn = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string"), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    p = F.coalesce(share, F.lit(0.0))
+    p = F.coalesce(F.col(share), F.lit(0.0))
     if keep:
+        marked = docs.select("*", source.alias(ids[0]), cell.alias(ids[1]))
+        joined = marked.join(table, F.col(ids[0]).eqNullSafe(F.col(matched[0])) & (F.col(ids[1]) == F.col(matched[1])), "left")
         return joined.where(drawn < p).select(*map(quoted, docs.columns))
-    return joined.select(
-        F.col(key).alias(key), *[dims[d].cast("string").alias(d) for d in names], tokens.alias("n_tokens"), p.alias("probability"), (drawn < p).alias("kept")
-    )
-
-
-def pooled(docs: DataFrame, value: Column, text: str = "text", most: int = 1000, rest: str = "other") -> tuple[Column, dict]:
-    """A dimension of bounded width and its tokens by value: the ``most`` values with most tokens, and ``rest`` for all others and null.
-
-    Tokens are summed over all rows; only the heaviest values, ties in order of value, and one total reach the driver.
-    """
-    by = settle(docs.select(value.cast("string").alias("v"), n_words(F.col(text)).alias("n")).groupBy("v").agg(F.sum("n").alias("n")))
-    mass = {r.v: r.n for r in by.where("v is not null").orderBy(F.desc("n"), "v").limit(most).collect()}
-    left = (by.agg(F.sum("n")).first()[0] or 0) - sum(mass.values())
-    named = value.cast("string").isin(list(mass)) if mass else F.lit(False)
-    column = F.when(named, value.cast("string")).otherwise(rest)
-    if left:
-        mass[rest] = mass.get(rest, 0) + left
-    return column, mass
+    joined = facts.join(table, F.col("v").eqNullSafe(F.col(matched[0])) & (F.col("k") == F.col(matched[1])), "left")
+    told = [F.col(f"d{i}").alias(d) for i, d in enumerate(names)]
+    return joined.select(F.col("key").alias(key), *told, F.col("n").alias("n_tokens"), p.alias("probability"), (F.col("drawn") < p).alias("kept"))

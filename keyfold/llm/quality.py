@@ -9,24 +9,24 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, Words, as_bytes, claim, mix, numbered, quoted, slices, without
+from .common import WS, Words, as_bytes, claim, mix, numbered, quoted, repeated, slices, without
 
 SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the method's verdict, each a share of the words' characters (symbols: of the words).
+    """Limits of the method's verdict, each a percentage of the characters of the text's words (symbols: of words, lines: of lines).
 
-    The base rule (too few words; too many words in repeated 3-word windows) is fixed by the two integers.
+    The base rule is the first two: too few words; too many words in repeated 3-word windows.
     """
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    ngram_limits: dict[int, float] = field(default_factory=lambda: {2: 0.65, 4: 0.55, 6: 0.5, 8: 0.45, 10: 0.4})
-    max_dup_line_chars: float = 0.4
-    max_dup_lines: float = 0.4
-    max_symbols_per_word: float = 0.3
+    ngram_limits: dict[int, int] = field(default_factory=lambda: {2: 65, 4: 55, 6: 50, 8: 45, 10: 40})
+    max_dup_line_chars_percent: int = 40
+    max_dup_lines_percent: int = 40
+    max_symbols_percent: int = 30
 
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "worst_coverage"]
@@ -36,29 +36,39 @@ SCHEMA = (
 )
 
 
-def _covered(h: np.ndarray, inside: np.ndarray, n: int) -> np.ndarray:
-    """Which words stand in a window of ``n`` words whose hash is there twice; ``inside`` marks windows within one text."""
-    ok = h[inside]
-    ordered = np.sort(ok)
-    twice = ordered[1:][ordered[1:] == ordered[:-1]]
-    out = np.zeros(len(h) + n - 1, dtype=bool)
-    if len(twice):
-        twice = np.unique(twice)
-        at = np.searchsorted(twice, ok)
-        hit = np.zeros(len(h), dtype=np.int64)
-        hit[np.flatnonzero(inside)[twice[np.minimum(at, len(twice) - 1)] == ok]] = 1
-        sums = np.concatenate((np.zeros(n, dtype=np.int64), np.cumsum(hit), np.full(n - 1, hit.sum())))
-        out = sums[n:] > sums[:-n]
-    return out
+def _covered(rolled: np.ndarray, w: Words, n: int) -> np.ndarray:
+    """Which words stand in a window of ``n`` words that is there twice in its text; ``rolled`` has every window's hash."""
+    at = np.flatnonzero(w.doc[: len(rolled)] == w.doc[n - 1 :])
+    hit, _ = repeated(mix(rolled[at]), at, w.ids, n, w.doc[at])
+    edges = np.zeros(len(w) + 1, dtype=np.int64)
+    edges[hit] += 1
+    edges[hit + n] -= 1
+    return np.cumsum(edges)[:-1] > 0
+
+
+def _lines(text: bytes) -> tuple[int, int, int]:
+    """Lines with a word, those of them equal to an earlier one, and the characters of these lines' words."""
+    if b"\n" not in text:
+        return int(bool(text.strip(WS.encode()))), 0, 0
+    n = again = chars = 0
+    seen: set[bytes] = set()
+    for line in text.split(b"\n"):
+        if not line.strip(WS.encode()):
+            continue
+        n += 1
+        if line in seen:
+            again += 1
+            chars += sum(len(x.decode()) for x in line.split())
+        seen.add(line)
+    return n, again, chars
 
 
 def measure(texts: list[bytes], rules: Rules) -> dict[str, np.ndarray]:
-    """All measures of a few texts at once; n-gram hashes roll from one length to the next and carry the text's number."""
+    """All measures of a few texts at once; n-gram hashes roll from one length to the next, and windows of one hash are compared word by word."""
     n_docs = len(texts)
     w = Words(texts)
     n_words = np.diff(w.bounds)
-    point = np.concatenate(([0], np.cumsum((w.buf & 0xC0) != 0x80)))
-    chars = point[w.ends] - point[w.starts]
+    chars = np.fromiter((len(x.decode()) for x in w.distinct), np.int64, len(w.distinct))[w.ids]
 
     def per_doc(x: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0], np.cumsum(x)))
@@ -66,40 +76,27 @@ def measure(texts: list[bytes], rules: Rules) -> dict[str, np.ndarray]:
 
     word_chars = per_doc(chars)
     total = np.maximum(word_chars, 1)
-    own = mix(w.hashes + mix(w.doc.astype(np.uint64) + np.uint64(1)))
-    rolled, coverage, repeat = own.copy(), np.zeros(n_docs), np.zeros(n_docs, dtype=np.int64)
-    over = np.zeros(n_docs, dtype=bool)
-    step = np.uint64(0xD6E8FEB86659FD93)
+    coverage, repeat, over = np.zeros(n_docs), np.zeros(n_docs, dtype=np.int64), np.zeros(n_docs, dtype=bool)
+    own = mix(w.hashes)
+    rolled, step = own, np.uint64(0xD6E8FEB86659FD93)
     for n in range(2, max([3, *rules.ngram_limits]) + 1):
         if len(own) < n:
             break
         rolled = rolled[:-1] * step + own[n - 1 :]
         if n != 3 and n not in rules.ngram_limits:
             continue
-        cover = _covered(mix(rolled), w.doc[: len(rolled)] == w.doc[n - 1 :], n)
+        cover = _covered(rolled, w, n)
         if n == 3:
             repeat = per_doc(cover)
         if n in rules.ngram_limits:
-            share = per_doc(chars * cover) / total
-            coverage = np.maximum(coverage, share)
-            over |= share > rules.ngram_limits[n]
-    symbols, dup_lines = np.zeros(n_docs, dtype=np.int64), np.zeros(n_docs, dtype=np.int64)
-    lines, dup_chars = np.zeros(n_docs, dtype=np.int64), np.zeros(n_docs, dtype=np.int64)
-    marks = SYMBOLS.encode()
-    for i, t in enumerate(texts):
-        symbols[i] = sum(t.count(marks[j : j + 1]) for j in range(len(marks)))
-        seen: set[bytes] = set()
-        for line in t.split(b"\n"):
-            if not line.strip(WS.encode()):
-                continue
-            lines[i] += 1
-            if line in seen:
-                dup_lines[i] += 1
-                dup_chars[i] += sum(len(x.decode()) for x in line.split())
-            seen.add(line)
-    few = np.maximum(n_words, 1)
-    over |= (symbols > rules.max_symbols_per_word * few) | (dup_chars > rules.max_dup_line_chars * total)
-    over |= dup_lines > rules.max_dup_lines * np.maximum(lines, 1)
+            inside = per_doc(chars * cover)
+            coverage = np.maximum(coverage, inside / total)
+            over |= 100 * inside > rules.ngram_limits[n] * total
+    marks = [SYMBOLS[j : j + 1].encode() for j in range(len(SYMBOLS))]
+    symbols = np.fromiter((sum(map(t.count, marks)) for t in texts), np.int64, n_docs)
+    lines, dup_lines, dup_chars = np.array([_lines(t) for t in texts], dtype=np.int64).reshape(-1, 3).T
+    over |= (100 * symbols > rules.max_symbols_percent * n_words) | (100 * dup_chars > rules.max_dup_line_chars_percent * total)
+    over |= 100 * dup_lines > rules.max_dup_lines_percent * np.maximum(lines, 1)
     base = (n_words < rules.min_words) | (100 * repeat > rules.max_repeat_percent * n_words)
     return dict(zip(NAMES, (n_words, word_chars, symbols, dup_lines, repeat, base, ~(base | over), coverage), strict=True))
 
@@ -107,7 +104,7 @@ def measure(texts: list[bytes], rules: Rules) -> dict[str, np.ndarray]:
 def score_quality(docs: DataFrame, text: str = "text", rules: Rules | None = None, prefix: str = "") -> DataFrame:
     """Every row of ``docs`` with all its columns and, prefixed if asked, the measures and the verdict ``kept``.
 
-    Words are compared by 64-bit hashes that carry the text's number. Null text counts as empty (no words: the base
+    Windows of words with equal hashes are compared word by word. Null text counts as empty (no words: the base
     rule fails it); rows may repeat or lack an id, as none is used; an empty table stays empty. A column of ``docs`` that is
     called like a measure, in any case, gives way to it; with another ``prefix`` it stays.
     """

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, claim
+from .common import as_bytes, claim, numbered, quoted
 
 CACHE_WORDS = 500_000
 
@@ -17,7 +17,7 @@ class LongestMatch:
     """Greedy longest-match piece counts of words in one pass over their bytes, without building pieces.
 
     ``first`` are the pieces a word may begin with and ``rest`` those that may follow (the same where the vocabulary makes no
-    difference); a piece is a sequence of symbols, here bytes. Where a node has no child for
+    difference); a piece is a sequence of symbols, here bytes and the end of a word. Where a node has no child for
     the next byte, its failure link leads to the node of what is left after popping the longest pieces, whose number
     is stored with the link; so each byte is read once.
     """
@@ -88,10 +88,15 @@ class LongestMatch:
         return n
 
 
+#: The symbol that closes a word, beside the 256 bytes.
+END = 256
+
+
 def byte_vocabulary(tokenizer: str) -> set[tuple[int, ...]]:
-    """The byte strings of a byte-level vocabulary file's pieces; a piece that closes a word (``</w>``) counts as its bytes.
+    """The pieces of a byte-level vocabulary file as sequences of bytes, with END where a piece closes a word (``</w>``).
 
-    All single bytes are among them, so greedy matching never gets stuck.
+    END alone is a piece, too, the last resort of a word that ends in a piece only known inside words. All single bytes are among the
+    pieces, so greedy matching never gets stuck.
     """
     import json
 
@@ -101,8 +106,12 @@ def byte_vocabulary(tokenizer: str) -> set[tuple[int, ...]]:
     table = {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(keep))}
     with open(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer), encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
-    bodies = (piece.removesuffix("</w>") for piece in vocab)
-    return {tuple(table[c] for c in body) for body in bodies if all(c in table for c in body)}
+    pieces = {(END,)}
+    for piece in vocab:
+        body = piece.removesuffix("</w>")
+        if body and all(c in table for c in body):
+            pieces.add((*(table[c] for c in body), *([END] if body != piece else [])))
+    return pieces
 
 
 def count_tokens(
@@ -110,12 +119,12 @@ def count_tokens(
 ) -> DataFrame:
     """One row per row of ``docs``: key, n_words, n_tokens, n_unknown.
 
-    Words are runs outside ASCII white space, A-Z lower-cased if ``lower``; each is matched greedily against the
-    vocabulary's byte strings. A word that cannot be matched counts as one token and as unknown.
+    Words are runs outside ASCII white space, lower-cased if ``lower``; each, closed by the end symbol, is matched greedily against
+    the vocabulary's pieces, of which some hold the end and stand there only. A word that cannot be matched counts as one token and as unknown.
     Null or blank text: zeros. Keys may repeat or be null; other columns are not read; an empty table stays empty.
     A worker keeps the automaton and counts of up to CACHE_WORDS words from task to task.
     """
-    rows = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(key)).alias(key), F.col(quoted(text)).cast("string").alias("text"))
     kind = rows.schema[key].dataType.simpleString()
 
     class Counts(dict):
@@ -126,20 +135,21 @@ def count_tokens(
         def __missing__(self, word: bytes) -> int:
             if len(self) >= CACHE_WORDS:
                 self.clear()
-            n = self[word] = self.match.count(word)
+            low = word.decode().lower().encode() if lower else word
+            n = self[word] = self.match.count((*low, END))
             return n
 
     def run(batches):
         import pyarrow as pa
 
         state = claim("tokens")
-        if state.get("tokenizer") != tokenizer:
-            state["tokenizer"], state["counts"] = tokenizer, Counts()
+        if state.get("tokenizer") != (tokenizer, lower):
+            state["tokenizer"], state["counts"] = (tokenizer, lower), Counts()
         counts = state["counts"]
         for b in batches:
             words, tokens, unknown = [], [], []
             for t in as_bytes(b.column(1)):
-                each = list(map(counts.__getitem__, (t.lower() if lower else t).split()))
+                each = list(map(counts.__getitem__, (t.lower() if lower else t).split()))  # A-Z at once, other letters word by word
                 bad = each.count(-1)
                 words.append(len(each))
                 tokens.append(sum(each) + 2 * bad)
@@ -148,4 +158,4 @@ def count_tokens(
                 [b.column(0), *(pa.array(x, pa.int64()) for x in (words, tokens, unknown))], names=[key, "n_words", "n_tokens", "n_unknown"]
             )
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, n_words long, n_tokens long, n_unknown long")
+    return numbered(rows).mapInArrow(run, f"{quoted(key)} {kind}, n_words long, n_tokens long, n_unknown long")

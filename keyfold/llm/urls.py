@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import numbered, quoted, settle
+
 #: Beyond this many bytes of rules the trie is not sent to the executors; ``filter_urls_joined`` takes over.
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -47,7 +49,9 @@ class RuleTrie:
             *whole, last = path.split("/")
             for segment in whole:
                 node = node.setdefault(segment, {})
-            ends = node.setdefault(None, {})
+            sizes, ends = node.setdefault(None, ([], {}))
+            if len(last) not in sizes:
+                sizes.append(len(last))
             if ends.get(last, ("", ""))[0] != "block":
                 ends[last] = (verdict, host + path)
 
@@ -64,8 +68,10 @@ class RuleTrie:
             for segment in segments:
                 if here is None:
                     break
-                for prefix, (verdict, rule) in here.get(None, {}).items():
-                    if segment.startswith(prefix) and (len(rule), depth) > best:
+                sizes, ends = here.get(None, ((), {}))
+                for size in sizes:  # a look-up for each length of prefix, however many prefixes have it
+                    verdict, rule = ends.get(segment[:size], ("", ""))
+                    if verdict and (len(rule), depth) > best:
                         best, found = (len(rule), depth), (verdict, rule)
                 here = here.get(segment)
         return found
@@ -77,31 +83,32 @@ def filter_urls(
     """One row per page: key, host, path, rule (null if none fits) and verdict (the default if none fits).
 
     Null and malformed urls have empty host and path and get the default; repeated rows are judged alike; an empty
-    table gives an empty table; other columns of ``pages`` are neither read nor clash. The trie travels with the task
+    table gives an empty table; other columns of ``pages`` are neither read nor clash. The trie is broadcast
     only while the rules take less than MAX_BROADCAST_BYTES; a longer list is joined instead.
     """
     if sum(len(h) + len(p) + 64 for _, h, p in rules) > MAX_BROADCAST_BYTES:
         table = pages.sparkSession.createDataFrame(rules, "verdict string, host string, path string")
         return filter_urls_joined(pages, table, url, key, default)
-    trie = RuleTrie(rules)
-    rows = pages.select(F.col(key).alias(key), F.col(url).cast("string").alias("url"))
+    trie = pages.sparkSession.sparkContext.broadcast(RuleTrie(rules))
+    rows = pages.select(F.col(quoted(key)).alias(key), F.col(quoted(url)).cast("string").alias("url"))
     kind = rows.schema[key].dataType.simpleString()
 
     def judge(batches):
         import pyarrow as pa
 
+        match = trie.value.match
         for b in batches:
             out = []
             for u in b.column(1).to_pylist():
                 host, path = split_url(u)
-                verdict, rule = trie.match(host, path)
+                verdict, rule = match(host, path)
                 out.append((host, path, rule, verdict or default))
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(c, pa.string()) for c in cols)], names=[key, "host", "path", "rule", "verdict"]
             )
 
-    return rows.mapInArrow(judge, f"`{key}` {kind}, host string, path string, rule string, verdict string")
+    return numbered(rows).mapInArrow(judge, f"{quoted(key)} {kind}, host string, path string, rule string, verdict string")
 
 
 def filter_urls_joined(
@@ -114,15 +121,13 @@ def filter_urls_joined(
     u = F.col("url")
     tail = F.when(F.instr(u, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)"))
     rows = (
-        pages.select(F.col(key).alias(key), F.col(url).cast("string").alias("url"))
+        pages.select(F.col(quoted(key)).alias(key), F.col(quoted(url)).cast("string").alias("url"))
         .withColumn("row_no", F.monotonically_increasing_id())
         .withColumn("tail", F.coalesce(tail, F.lit("")))
         .withColumn("host", F.translate(F.regexp_extract("tail", r"\A([^/?#]*)", 1), UPPER, LOWER))
         .withColumn("path", F.regexp_extract("tail", r"\A[^/?#]*([^?#]*)", 1))
-        .select(key, "row_no", "host", "path")
+        .select(quoted(key), "row_no", "host", "path")
     )
-    from .common import settle
-
     rows = settle(rows)
     labels = F.split("host", r"\.")
     each = rows.withColumn(
@@ -147,5 +152,5 @@ def filter_urls_joined(
         )
     )
     return rows.join(best, "row_no", "left").select(
-        key, "host", "path", F.col("m.rule").alias("rule"), F.coalesce("m.v", F.lit(default)).alias("verdict")
+        quoted(key), "host", "path", F.col("m.rule").alias("rule"), F.coalesce("m.v", F.lit(default)).alias("verdict")
     )

@@ -30,19 +30,25 @@ def substring(docs, width=13):
     return out
 
 
-def lines(docs, width=3):
-    first, each = {}, {}
-    for i, t in sorted(docs):
-        each[i] = [x for x in (y.strip(" \t\n\x0b\x0c\r") for y in (t or "").split("\n")) if x]
-        for k in range(len(each[i]) - width + 1):
-            g = tuple(each[i][k : k + width])
-            first[g] = min(first.get(g, (i, k)), (i, k))
+def lines(docs, least=13):
+    """{doc_id: (n_lines, n_removed, kept text)}: every run of lines with ``least`` words or more that stands earlier goes."""
+    each = {i: [x for x in (y.strip(" \t\n\x0b\x0c\r") for y in (t or "").split("\n")) if x] for i, t in docs}
+    at = {}
+    for i, x in each.items():
+        for k, line in enumerate(x):
+            at.setdefault(line, []).append((i, k))
     out = {}
     for i, x in each.items():
         gone = set()
-        for k in range(len(x) - width + 1):
-            if first[tuple(x[k : k + width])] < (i, k):
-                gone.update(range(k, k + width))
+        for k, line in enumerate(x):
+            for j, m in at[line]:
+                if (j, m) >= (i, k) or (k and m and x[k - 1] == each[j][m - 1]):
+                    continue  # not earlier, or not where the run begins
+                n = 0
+                while k + n < len(x) and m + n < len(each[j]) and x[k + n] == each[j][m + n]:
+                    n += 1
+                if sum(len(words(y)) for y in x[k : k + n]) >= least:
+                    gone.update(range(k, k + n))
         out[i] = (len(x), len(gone), "\n".join(y for k, y in enumerate(x) if k not in gone))
     return out
 
@@ -121,3 +127,32 @@ def url(u, rules):
     fit = [(len(h + p), len(h), v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fit, default=(0, 0, "allow", None))
     return host, path, best[3], best[2]
+
+
+def canonical(text):
+    """A text's canonical form without regular expressions for lines: lines end at \\n alone."""
+    kept = []
+    for line in (text or "").translate({c: c + 32 for c in range(65, 91)}).split("\n"):
+        k = 0
+        while k < len(line) and not ("a" <= line[k] <= "z" or "0" <= line[k] <= "9"):
+            k += 1
+        signs = [line.find(x) for x in ("(c)", "\u00a9") if 0 <= line.find(x) <= k]
+        year = any(line[j : j + 4].isdigit() and line[j : j + 4].isascii() for j in range(len(line)))
+        marked = line[k:].startswith("copyright") and (year or "(c)" in line[k:] or "\u00a9" in line[k:])
+        if marked or (signs and year) or line[k:].startswith("all rights reserved"):
+            line = " "
+        kept.append(line)
+    words = "".join(c if "a" <= c <= "z" or "0" <= c <= "9" else " " for c in "\n".join(kept)).split()
+    words = ["license" + w[7:] if w.startswith("licence") else w for w in words]
+    out = []
+    for w in words:
+        if out and out[-1] == "sub" and w.startswith("licens"):
+            out[-1] += w
+        elif out and out[-1] == "non" and w.startswith("commercial"):
+            out[-1] += w
+        elif out and out[-1] == "copyright" and w == "owner":
+            out.append("holder")
+        else:
+            out.append({"http": "https", "merchantibility": "merchantability", "version": "v"}.get(w, w))
+    text = " ".join(out)
+    return f" {text} ".replace(" permission is granted ", " permission is hereby granted ").strip(" ")

@@ -11,7 +11,7 @@ from test_mixing import mixed
 from keyfold.llm import quality
 from keyfold.llm import queries as q
 
-LIMITS = {2: 0.65, 4: 0.55, 6: 0.5, 8: 0.45, 10: 0.4}
+LIMITS = {2: 65, 4: 55, 6: 50, 8: 45, 10: 40}  # percent
 
 
 def good(text):
@@ -19,18 +19,18 @@ def good(text):
     text = text or ""
     w, symbols, base = brute.words(text), brute.quality(text)[2], brute.quality(text)[5]
     total = max(1, sum(map(len, w)))
-    if base or symbols > 0.3 * len(w):
+    if base or 100 * symbols > 30 * len(w):
         return False
     for n, limit in LIMITS.items():
         where = {}
         for k in range(len(w) - n + 1):
             where.setdefault(tuple(w[k : k + n]), []).append(k)
         hit = {k + j for v in where.values() if len(v) > 1 for k in v for j in range(n)}
-        if sum(len(w[k]) for k in hit) / total > limit:
+        if 100 * sum(len(w[k]) for k in hit) > limit * total:
             return False
     lines = [x for x in text.split("\n") if brute.words(x)]
     again = [x for k, x in enumerate(lines) if x in lines[:k]]
-    return sum(len(x) for y in again for x in brute.words(y)) <= 0.4 * total and len(again) <= 0.4 * len(lines)
+    return 100 * sum(len(x) for y in again for x in brute.words(y)) <= 40 * total and 100 * len(again) <= 40 * len(lines)
 
 
 def repetitive(seed, n=400):
@@ -65,7 +65,7 @@ def near_limits(seed):
         for _ in range(60):
             runs = [[fresh(12) for _ in range(size)] for _ in range(40 // size)] * 2
             inside = 12 * size * len(runs)
-            rest = [fresh(6) for _ in range(int(inside / (limit * r.uniform(0.8, 1.2)) - inside) // 6)]
+            rest = [fresh(6) for _ in range(int(inside / (limit / 100 * r.uniform(0.8, 1.2)) - inside) // 6)]
             r.shuffle(runs)
             cut = sorted(r.sample(range(1, len(rest)), len(runs)))
             out.append(" ".join(x for k, run in enumerate(runs) for x in [*rest[cut[k - 1] if k else 0 : cut[k]], *run]) + " " + " ".join(rest[cut[-1] :]))
