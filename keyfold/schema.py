@@ -40,8 +40,12 @@ class CompactionStyle(StrEnum):
 
 @dataclass(frozen=True)
 class SyncPolicy:
-    """When records are made durable: a batch that is written is; a stream's batches are made every ``every_ms``, or of all there is."""
+    """When writes are committed: every one, every n-th, or once ``every_ms`` have passed since the last commit, whichever comes first.
 
+    What is written and not committed is read by its writer only, and lost with it.
+    """
+
+    every_n: int | None = 1
     every_ms: int | None = None
 
 

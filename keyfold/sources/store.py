@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import time
 import uuid
 from functools import reduce
 
@@ -17,7 +18,7 @@ from ..operators import reads
 from ..operators.compaction import compact_entries, level_budgets, leveled_pick, size_tiered_pick
 from ..operators.merge import live, newest_by_seq
 from ..schema import DELETE, ENTRIES, LOGGED, PUT, CompactionStyle, CorruptionError, EngineError, NotFoundError, Options
-from .manifest import CHECKPOINT, COMPACT, FLUSH, LOG, ManifestLog
+from .manifest import CHECKPOINT, COMPACT, FLUSH, LOG, ManifestLog, apply
 
 
 def _b(x: bytes | None) -> str | None:
@@ -61,6 +62,7 @@ class Store:
             "compaction_count": 0, "compaction_bytes": 0, "batches": {},
         }
         self._recover()
+        self.published, self.pending, self.synced = self.state, [], time.monotonic()
 
     def _recover(self) -> None:
         """Marks segments of the log that hold a bad record with the number before it; what they hold from there on is not replayed."""
@@ -88,8 +90,38 @@ class Store:
     # ------------------------------------------------------------ writes
 
     def _commit(self, tag: int, **changes) -> None:
-        """Publish what changed as the next version; the first version is a checkpoint of an empty state with the change."""
-        self.state = self.manifest.commit(self.state, {"tag": tag, **changes})
+        """Publish what changed as the next version, after the writes that wait for it."""
+        self.sync()
+        self.state = self.published = self.manifest.commit(self.state, {"tag": tag, **changes})
+
+    def sync(self) -> None:
+        """Commit the writes that the sync policy holds back, in one version; if another writer was first, they are dropped."""
+        waiting, self.pending, self.synced = self.pending, [], time.monotonic()
+        if waiting:
+            record = {
+                "tag": LOG, "segments": [x for r in waiting for x in r["segments"]], "batch": {k: v for r in waiting for k, v in r["batch"].items()},
+                "set": waiting[-1]["set"],
+            }
+            self.state = self.published  # what stays if the commit fails
+            self.state = self.published = self.manifest.commit(self.published, record)
+
+    def _log(self, record: dict) -> None:
+        """Take a write into the state, and commit it if it is time."""
+        self.pending.append(record)
+        self.state = apply(self.state, record) | {"version": self.state["version"]}
+        policy = self.options.sync
+        late = policy.every_ms is not None and 1000 * (time.monotonic() - self.synced) >= policy.every_ms
+        if late or (policy.every_n is not None and len(self.pending) >= policy.every_n):
+            self.sync()
+
+    @property
+    def writes_since_sync(self) -> int:
+        return len(self.pending)
+
+    @property
+    def offset(self) -> int:
+        """Bytes of the log as encoded records, committed or not."""
+        return sum(x["size"] for x in self.state["log"])
 
     def _pin(self, version: int):
         """A file that keeps a version's data from ``vacuum``, whichever process runs it."""
@@ -122,12 +154,12 @@ class Store:
             raise EngineError("a key must not be null")
         if not done["n"]:
             return
-        self._commit(
-            LOG,
-            segments=[{"id": self.state["next_segment"], "path": segment, "rows": done["n"], "bytes": done["bytes"], "size": done["size"]}],
-            batch=dict([batch]) if batch is not None else {},
-            set={"next_seq": done["top"] + 1, "next_segment": self.state["next_segment"] + 1, "bytes_written": self.state["bytes_written"] + done["bytes"]},
-        )
+        self._log({
+            "tag": LOG,
+            "segments": [{"id": self.state["next_segment"], "path": segment, "rows": done["n"], "bytes": done["bytes"], "size": done["size"]}],
+            "batch": dict([batch]) if batch is not None else {},
+            "set": {"next_seq": done["top"] + 1, "next_segment": self.state["next_segment"] + 1, "bytes_written": self.state["bytes_written"] + done["bytes"]},
+        })
         if self.is_full():
             self.flush()
 
@@ -194,10 +226,12 @@ class Store:
         """The log's newest version of each key, tombstones too, becomes a run at the end of level 0; an empty log does nothing."""
         if not self.state["log"]:
             return
+        self.sync()
         self._commit(FLUSH, added=self._write_runs(newest_by_seq(self._dealt(self._tail(self.state))), 0, split=False))
 
     def close(self) -> None:
         self.flush()
+        self.sync()
 
     # ------------------------------------------------------------ reads
 
@@ -263,6 +297,7 @@ class Store:
         return reads.multi_get(self._entries(self.state), wanted)
 
     def snapshot(self) -> Snapshot:
+        self.sync()
         return Snapshot(self, self.state)
 
     # ------------------------------------------------------------ compaction
@@ -294,6 +329,7 @@ class Store:
     def compact_range(self, start: bytes | None = None, end: bytes | None = None) -> int:
         """Run tasks over the runs that meet [start, end] until none is due; the number of tasks run."""
         n = 0
+        self.sync()
         while True:
             inside = [
                 r for r in self.state["runs"] if (end is None or _u(r["min_key"]) <= end) and (start is None or _u(r["max_key"]) >= start)
@@ -324,6 +360,7 @@ class Store:
 
     def checkpoint(self) -> None:
         """Publish the whole state as one record, from which later versions need no earlier one's changes."""
+        self.sync()
         self._commit(CHECKPOINT, state=self.state | {"version": self.state["version"] + 1})
 
     def vacuum(self, older_ms: int = 3_600_000) -> int:

@@ -19,6 +19,7 @@ def ingest(ops: DataFrame, store: Store, checkpoint: str, order: str, name: str
 
     def batch(df: DataFrame, number: int) -> None:
         store.write(df, order, batch=(name, number))
+        store.sync()  # before the stream holds the batch for done
         if compact:
             store.compact_range()
 

@@ -199,6 +199,30 @@ def test_manifest_versions_hold_changes(spark, tmp_path):
         manifest.apply(None, {"tag": manifest.LOG})
 
 
+def test_sync_policies(spark, tmp_path):
+    from keyfold.schema import SyncPolicy
+
+    path = str(tmp_path / "s")
+    store = Store(spark, path, Options(sync=SyncPolicy(every_n=3)))
+    for i in range(4):
+        store.put(b"k%d" % i, b"v")
+    assert store.writes_since_sync == 1 and store.offset == 4 * (13 + 3) and store.segments() == [1, 2, 3, 4]
+    assert len(pairs(store.scan())) == 4 and len(pairs(Store(spark, path).scan())) == 3  # the fourth is its writer's alone
+    assert store.manifest.versions() == [1]
+    store.sync()
+    store.sync()
+    assert store.writes_since_sync == 0 and store.manifest.versions() == [1, 2] and store.state == Store(spark, path).state
+    store.put(b"k9", b"v")
+    store.flush()
+    assert len(pairs(Store(spark, path).scan())) == 5 and store.segments() == []
+    timed = Store(spark, str(tmp_path / "t"), Options(sync=SyncPolicy(every_n=None, every_ms=3_600_000)))
+    timed.put(b"a", b"1")
+    assert timed.writes_since_sync == 1 and timed.manifest.versions() == []
+    timed.synced -= 3600
+    timed.put(b"b", b"1")
+    assert timed.writes_since_sync == 0 and timed.manifest.versions() == [1]
+
+
 def test_scheduler(spark, tmp_path):
     from keyfold.streaming.scheduler import CompactionScheduler
 
