@@ -30,6 +30,8 @@ from .common import (
 
 #: Documents and shingles that are compared with each other at a time; larger candidate groups are dealt out.
 BLOCK_DOCS, BLOCK_SHINGLES, HUBS = 256, 1 << 18, 32
+#: Counters, and shingles that are counted in them, by which the rarer shingles of a text are told; both change costs and no results.
+COUNTERS, COUNTED = 1 << 18, 1 << 20
 #: Ids are below this. A row without one is known by a number from here on that its text gives, so it comes after all rows with ids.
 NO_IDS = 1 << 62
 UNIVERSE = 1 << 20
@@ -242,12 +244,21 @@ def _shared(members: DataFrame) -> DataFrame:
     return settle(sizes.where("lo < hi").select("group", "m"))
 
 
+def _crossed(few, blocks, few_blocks):
+    """The parts of a group in which each of the ``few`` meets every document: one for each block of all and each block of the few."""
+    own, own_few = F.pmod(F.xxhash64("id"), blocks), F.pmod(F.xxhash64("id", F.lit(2)), few_blocks)
+    as_any = F.transform(F.sequence(F.lit(0).cast("long"), few_blocks - 1), lambda r: r * blocks + own)
+    as_few = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda a: own_few * blocks + a)
+    return F.array_distinct(F.concat(as_any, F.when(few, as_few).otherwise(F.array().cast("array<long>"))))
+
+
 def _meetings(banded: DataFrame, labels: DataFrame) -> DataFrame:
     """Where documents not yet linked have still to be compared: rows (group, part, id, label).
 
     ``banded`` has (id, bands), ``labels`` (id, label). A group is a band's bucket with more than one label, so a document is in as many
     as it has bands at most, however many are like it. Buckets beyond BLOCK_DOCS are split by the second of each two such bands
-    that a document has. What is left beyond it, documents alike in two bands at least, is compared block against block.
+    that a document has. What is left beyond it, documents alike in two bands at least, is compared block against block. Who shares
+    such a bucket and no second one does not meet here; ``_rest`` is for them.
     """
     members = settle(banded.join(labels, "id").select(F.explode("bands").alias("group"), "id", "label"))
     sizes = _shared(members)
@@ -267,6 +278,107 @@ def _meetings(banded: DataFrame, labels: DataFrame) -> DataFrame:
     return small.union(split)
 
 
+def _hashes(texts: list[bytes], width: int):
+    """For each text the hashes of its different shingles, one for each; none for a text of fewer words, which is like no other class."""
+    w = Words(texts, lower=True)
+    ids, hashes = window_ids(w.ids, width), window_hash(w.hashes, width)
+    for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
+        yield hashes[a + np.unique(ids[a : b - width + 1], return_index=True)[1]] if b - a >= width else hashes[:0]
+
+
+def _counted(rows: DataFrame, width: int) -> np.ndarray:
+    """How often shingles stand in the texts of ``rows(id, text)``, by the last bits of their hashes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        claim("minhash")
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for b in batches:
+            texts = as_bytes(b.column(1))
+            for lo, hi in slices(texts):
+                h = np.concatenate(list(_hashes(texts[lo:hi], width)))
+                total += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
+
+    found = rows.select("id", "text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[found.column("k").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _prefixes(rows: DataFrame, counts: np.ndarray, width: int, num: int, den: int) -> DataFrame:
+    """Rows (id, text) -> (id, keys, first): the hashes of a text's rarest shingles that a like text must share one of.
+
+    Shingles go by count and hash, in the same order everywhere. Let texts of x <= y shingles share s with den * s >= num * (x + y - s),
+    and let i of the one text's shingles come before the first that they share: then s <= x - i, and s <= y - i for the other text's i. As y >= x
+    and den * x >= num * y, that one is among the first of the smaller text with (x - i) * (num + den) >= 2 * num * x, of which there are
+    ``first``, and of the larger with (y - i) * den >= num * y, which are all the ``keys``. Unlike shingles of one hash count as many.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        claim("minhash")
+        for b in batches:
+            texts = as_bytes(b.column(1))
+            for lo, hi in slices(texts):
+                keys, first = [], []
+                for h in _hashes(texts[lo:hi], width):
+                    n = len(h)
+                    h = h[np.lexsort((h, counts[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]))][: n - -(-num * n // den) + 1]
+                    keys.append(h.view(np.int64))
+                    first.append(n - -(-2 * num * n // (num + den)) + 1 if n else 0)
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), flat, pa.array(first, pa.int64())], names=["id", "keys", "first"])
+
+    return rows.select("id", "text").mapInArrow(run, "id long, keys array<long>, first long")
+
+
+def _rest(reps: DataFrame, labels: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
+    """Where documents that share a crowded band and are not linked have still to be compared, whatever else they share: (group, part, id, label).
+
+    ``reps`` has (id, n, bands), ``labels`` (id, cand, label), ``texts`` (id, text). A group is a shingle that ``_prefixes`` gives to documents
+    with more than one label, among its first to one of them; every pair that has to be linked shares one, and texts that share only what is
+    frequent share none. Groups of the same documents are one. In groups beyond BLOCK_DOCS those that have the shingle among their first, or
+    those outside the component's largest part if they are fewer, meet every document, block by block. Where comparing all
+    documents of a component so sends fewer texts, that is done. None if no band is crowded.
+    """
+    zero = F.lit(0).cast("long")
+    members = settle(reps.join(labels, "id").select(F.explode("bands").alias("group"), "id", "cand", "label", "n"))
+    crowded = _shared(members).where(F.col("m") > BLOCK_DOCS)
+    if not crowded.limit(1).count():
+        return None
+    docs = settle(members.join(crowded, "group").select("id", "cand", "label", "n").distinct())
+    by_label = docs.groupBy("cand", "label").agg(F.count("*").alias("m"))
+    main = by_label.groupBy("cand").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"))
+    main = settle(main.select("cand", F.col("top.label").alias("main"), "all", (F.col("all") - F.col("top.m")).alias("outside")))
+    docs = settle(docs.join(main, "cand").select("id", "cand", "label", "n", (F.col("label") != F.col("main")).alias("out")))
+    rows = texts.join(docs.select("id"), "id")
+    every = -(-docs.agg(F.sum("n")).first()[0] // COUNTED)
+    counts = _counted(rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(every)) == 0), width)
+    keyed = settle(_prefixes(rows, counts, width, num, den)).join(docs, "id").select("id", "cand", "label", "out", "first", F.posexplode("keys").alias("i", "key"))
+    keyed = keyed.withColumn("short", F.col("i") < F.col("first"))
+    told = [F.count("*").alias("m"), F.count_if("short").alias("s"), F.count_if("out").alias("o"), F.min("label").alias("lo"), F.max("label").alias("hi")]
+    groups = settle(keyed.groupBy("cand", "key").agg(*told).where("lo < hi and s > 0").select("cand", "key", "m", "s", "o"))
+    found = settle(keyed.join(groups, ["cand", "key"]).select("cand", "key", "id", "label", "short", "out", "m", "s", "o"))
+    who = found.where(F.col("m") <= BLOCK_DOCS).groupBy("cand", "key").agg(F.sort_array(F.collect_set(F.struct("id", "label"))).alias("who"))
+    small = who.groupBy("cand", "who").agg(F.min("key").alias("key")).select("cand", "key", F.explode("who").alias("x"))
+    small = small.select("cand", F.xxhash64("cand", "key").alias("group"), F.array(zero).alias("parts"), F.col("x.id").alias("id"), F.col("x.label").alias("label"))
+    blocks, few = F.ceil(F.col("m") / BLOCK_DOCS).cast("long"), F.when(F.col("s") <= F.col("o"), F.col("short")).otherwise(F.col("out"))
+    parts = _crossed(few, blocks, F.ceil(F.least("s", "o") / BLOCK_DOCS).cast("long")).alias("parts")
+    large = found.where(F.col("m") > BLOCK_DOCS).select("cand", F.xxhash64("cand", "key").alias("group"), parts, "id", "label")
+    by_key = settle(small.union(large))
+    sent = by_key.groupBy("cand").agg(F.sum(F.size("parts")).alias("sent")).join(main.where("outside > 0"), "cand")
+    blocks, few_blocks = (F.ceil(F.col(x) / BLOCK_DOCS).cast("long") for x in ("all", "outside"))
+    whole = settle(sent.where(F.col("sent") > F.col("all") * few_blocks + F.col("outside") * blocks).select("cand", "all", "outside"))
+    as_whole = docs.join(whole, "cand").select(F.col("cand").alias("group"), _crossed(F.col("out"), blocks, few_blocks).alias("parts"), "id", "label")
+    by_key = by_key.join(whole, "cand", "left_anti").select("group", "parts", "id", "label")
+    return by_key.union(as_whole).select("group", F.explode("parts").alias("part"), "id", "label")
+
+
 def near_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 4, den: int = 5, width: int = 5, plan: Bands | None = None
 ) -> DataFrame:
@@ -277,7 +389,8 @@ def near_components(
     3. Texts of candidate components are dealt to tasks, and ``link`` compares whole sets there, shingle by shingle. A component
     beyond BLOCK_DOCS or BLOCK_SHINGLES is dealt in blocks, each with the same few hub texts, which joins almost everything. What that
     leaves outside the largest part is compared with every block, or where two documents share a band (``_meetings``) if that sends
-    fewer texts, so texts sent grow with the documents. No task holds more than one group of bounded size.
+    fewer texts; of those in crowded bands that are not linked then, all that share one of their rarest shingles are (``_rest``), without which
+    no two can be linked. No task holds more than one group of bounded size.
     4. What a task found is a whole component, or, of blocks and bands, edges whose components are found as in 2.
 
     Rows that share an id should share the text; else each is judged by its own, and the document stays if one does. Null, empty and blank texts have an empty set and are linked with nothing. Rows without id
@@ -333,16 +446,21 @@ def _components(docs: DataFrame, key: str, text: str, num: int, den: int, width:
         open_ = settle(open_.withColumn("banded", F.col("r_blocks") + F.col("outside") * F.col("blocks") / F.col("all") > plan.bands))
         if open_.limit(1).count():
             todo = labelled.join(open_.where("not banded"), "cand")
-            own_a, own_r = F.pmod(F.xxhash64("id"), F.col("blocks")), F.pmod(F.xxhash64("id", F.lit(2)), F.col("r_blocks"))
-            as_any = F.transform(F.sequence(zero, F.col("r_blocks") - 1), lambda r: r * F.col("blocks") + own_a)
-            as_outside = F.when(F.col("label") != F.col("main"), F.transform(every, lambda a: own_r * F.col("blocks") + a)).otherwise(F.array().cast("array<long>"))
-            parts = F.explode(F.array_distinct(F.concat(as_any, as_outside))).alias("part")
+            parts = F.explode(_crossed(F.col("label") != F.col("main"), F.col("blocks"), F.col("r_blocks"))).alias("part")
             todo = todo.select(F.col("cand").alias("group"), parts, "id", "label")
-            many = open_.where("banded")
-            if many.limit(1).count():
+            many = open_.where("banded").select("cand")
+            banded = many.limit(1).count() > 0
+            if banded:
                 todo = todo.union(_meetings(reps.select("id", "bands"), labelled.join(many, "cand").select("id", "label")))
             more = settle(_verify(todo.join(texts.select("id", "text"), "id"), n_parts, width, num, den))
             so_far = settle(components(edges.union(more).union(so_far.select("node", "comp"))))
+            if banded:
+                now = so_far.withColumnRenamed("node", "id")
+                now = settle(labelled.join(many, "cand").join(now, "id", "left").select("id", "cand", F.coalesce("comp", "id").alias("label")))
+                rest = _rest(reps.select("id", "n", "bands"), now, texts.select("id", "text"), width, num, den)
+                if rest is not None:
+                    more = settle(_verify(rest.join(texts.select("id", "text"), "id"), n_parts, width, num, den))
+                    so_far = settle(components(more.union(so_far.select("node", "comp"))))
         final = final.union(so_far)
     table.drop()
     return (
